@@ -22,6 +22,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm._common import table
 
@@ -179,7 +180,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text"
             )
 
     schema = packed.select("row").schema.add("n_tokens", "long").add("ids_sha256", "string")
-    return packed.mapInArrow(run, schema.add("decoded_sha256", "string").add("token_ids", "array<int>"))
+    return packed.mapInArrow(run, schema.add("decoded_sha256", "string").add("token_ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(tokens: DataFrame, vocabulary: str, *, token_ids: str = "token_ids", into: str = "decoded") -> DataFrame:
