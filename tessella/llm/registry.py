@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessella.llm.bpe import op2_bpe
 from tessella.llm.decontam import OP3_SQL, op3_decontamination
 from tessella.llm.licenses import op7_licenses
+from tessella.llm.secrets import op8_secrets
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_decontamination": op3_decontamination, "op7_licenses": op7_licenses}
+QUERIES = {"op2_bpe": op2_bpe, "op3_decontamination": op3_decontamination, "op7_licenses": op7_licenses, "op8_secrets": op8_secrets}
 ORACLE: dict[str, str] = {"op3_decontamination": OP3_SQL}
