@@ -5,9 +5,10 @@ from __future__ import annotations
 from tessella.llm.bpe import op2_bpe
 from tessella.llm.decontam import OP3_SQL, op3_decontamination
 from tessella.llm.licenses import op7_licenses
+from tessella.llm.linededup import OP5_SQL, op5_line_dedup
 from tessella.llm.pii import op1_pii
 from tessella.llm.secrets import op8_secrets
 
 QUERIES = {
-    "op1_pii": op1_pii, "op2_bpe": op2_bpe, "op3_decontamination": op3_decontamination, "op7_licenses": op7_licenses, "op8_secrets": op8_secrets}
-ORACLE: dict[str, str] = {"op3_decontamination": OP3_SQL}
+    "op1_pii": op1_pii, "op2_bpe": op2_bpe, "op3_decontamination": op3_decontamination, "op5_line_dedup": op5_line_dedup, "op7_licenses": op7_licenses, "op8_secrets": op8_secrets}
+ORACLE: dict[str, str] = {"op3_decontamination": OP3_SQL, "op5_line_dedup": OP5_SQL}
