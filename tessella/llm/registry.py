@@ -8,7 +8,8 @@ from tessella.llm.licenses import op7_licenses
 from tessella.llm.linededup import OP5_SQL, op5_line_dedup
 from tessella.llm.pii import op1_pii
 from tessella.llm.secrets import op8_secrets
+from tessella.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
-    "op1_pii": op1_pii, "op2_bpe": op2_bpe, "op3_decontamination": op3_decontamination, "op5_line_dedup": op5_line_dedup, "op7_licenses": op7_licenses, "op8_secrets": op8_secrets}
-ORACLE: dict[str, str] = {"op3_decontamination": OP3_SQL, "op5_line_dedup": OP5_SQL}
+    "op1_pii": op1_pii, "op2_bpe": op2_bpe, "op3_decontamination": op3_decontamination, "op5_line_dedup": op5_line_dedup, "op7_licenses": op7_licenses, "op8_secrets": op8_secrets, "op9_warc": op9_warc}
+ORACLE: dict[str, str] = {"op3_decontamination": OP3_SQL, "op5_line_dedup": OP5_SQL, "op9_warc": OP9_SQL}
