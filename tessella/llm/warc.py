@@ -307,12 +307,12 @@ OP9_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
 digits AS (
-  SELECT *, list_transform(range(8), g -> CAST('0x' || substr(hex, CAST(5 * g + 1 AS BIGINT), 5) AS BIGINT)) AS v,
+  SELECT *, list_transform(range(8), lambda g: CAST('0x' || substr(hex, CAST(5 * g + 1 AS BIGINT), 5) AS BIGINT)) AS v,
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS abc
   FROM q
 )
 SELECT page_id, payload_bytes,
-  array_to_string(list_transform(range(32), i -> substr(abc, ((v[CAST(i // 4 + 1 AS BIGINT)] >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1, 1)), '') AS payload_digest,
+  array_to_string(list_transform(range(32), lambda i: substr(abc, ((v[CAST(i // 4 + 1 AS BIGINT)] >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM digits
