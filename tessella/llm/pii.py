@@ -6,9 +6,8 @@ n_t holding term t and n_te holding t beside e, PMI(t; e) = log2(N n_te / (n_t n
 information IC(e) = log2(N / n_e) is the disclosure of e by t: 1 where t stands beside e only. A term whose disclosure
 reaches `generalise` is replaced by its general class beside e, and removed from `remove` on.
 
-Counts are over all documents; pairs are pre-aggregated before the shuffle. Words are counted over whole texts, but only
-those that are candidates: by a broadcast join while these are fewer than BROADCAST_TERMS, else after summing up all
-words. The judged terms are laid on texts by a key of the text, once for all copies, so copies get the same spans.
+Counts are over all documents and whole texts; pairs and words are summed up on the map side, then shuffled, then joined.
+The judged terms are laid on texts by a key of the text, once for all copies, so copies get the same spans.
 
 Defined results: null and empty texts have no spans; repeated rows count as documents of their own and get the same
 spans; an entity in all documents has nothing to disclose; a term is judged only with at least `support` documents;
@@ -34,7 +33,6 @@ IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 WORD_BEFORE, WORD_AFTER = r"(?<=\P{L})\p{L}{4,}+", r"(?<!\p{L})\p{L}{4,}+(?=\P{L})"
 #: Documents in which a term stands beside an entity before it is judged, and shares of the entity's information.
 SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.8
-BROADCAST_TERMS = 50_000
 
 
 def luhn(value: Column) -> Column:
@@ -105,12 +103,8 @@ def disclosing(found: DataFrame, texts: DataFrame, support: int, generalise: flo
     pairs = stored(pairs, "pii-pairs")
     name = lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))
     entities = found.select(F.explode(F.array_distinct(F.transform("base", name))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = pairs.select("term").distinct()
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("x"), r"\P{L}+"))).alias("term"))
-    if terms.count() <= BROADCAST_TERMS:
-        counts = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    else:
-        counts = words.filter(F.length("term") >= 4).groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("x"), r"\P{L}+"))).alias("term")).filter(F.length("term") >= 4)
+    counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
     total = found.count()
     information = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
     pmi = F.log2(F.lit(float(max(total, 1))) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
