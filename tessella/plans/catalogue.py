@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "facets_event_type"
+FLAGSHIP = "search_page_sure_band"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -23,9 +23,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _load() -> None:
+    from tessella.plans import q_items, q_rows, q_streams, q_vectors  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
