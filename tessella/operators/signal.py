@@ -5,10 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TILES = 8
 
 
+def _struct(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
 def laplacian_variance(gray: np.ndarray) -> float:
     g = gray.astype(float)
     inner = g[1:-1, 1:-1]
@@ -87,7 +92,7 @@ def flicker(frames: np.ndarray, fps: float, mains: tuple[int, ...] = (100, 120),
     return best or {"kind": "none", "hz": None, "strength": None}
 
 
-@F.pandas_udf("struct<tile_p90: double, tile_max: double, level: double, clipped: double>")
+@F.pandas_udf(_struct("tile_p90", "tile_max", "level", "clipped"))
 def measured(pixels: pd.Series, height: pd.Series) -> pd.DataFrame:
     """Measures of grey pictures given as flat arrays with their height."""
     rows = []
@@ -97,7 +102,7 @@ def measured(pixels: pd.Series, height: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["tile_p90", "tile_max", "level", "clipped"])
 
 
-@F.pandas_udf("struct<kind: string, hz: double, strength: double>")
+@F.pandas_udf(T.StructType([T.StructField("kind", T.StringType()), *_struct("hz", "strength")]))
 def flicker_of(frames: pd.Series, shape: pd.Series, fps: pd.Series) -> pd.DataFrame:
     """Verdicts on frame runs given as flat arrays with (n, h, w)."""
     return pd.DataFrame([flicker(np.asarray(f, float).reshape(*map(int, s)), r) for f, s, r in zip(frames, shape, fps, strict=True)], columns=["kind", "hz", "strength"])
