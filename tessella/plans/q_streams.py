@@ -48,3 +48,12 @@ def stream_alerts(spark, sf):
     e = table(spark, sf, "events")
     rows = e.select(F.col("event_type").alias("product"), F.col("event_id").alias("seq"), (F.col("value") / 100).alias("level"), (F.col("user_id") % 7).cast("string").alias("setting"), (F.col("user_id") % 2 == 0).alias("strobe"))
     return _drain(spark, rows, live.alerts, per_trigger=10).withColumn("drop", F.round("drop", 6))
+
+
+# With a year's allowance nothing is late, so pairs are whole; RAWs alone stay in the state.
+@query("stream_pair", """WITH f AS (SELECT event_id, ts, user_id, event_id % 2 = 0 AS is_raw FROM events)
+SELECT 'f' || CAST(r.event_id AS VARCHAR) AS raw, 'f' || CAST(s.event_id AS VARCHAR) AS standard FROM f r JOIN f s ON r.user_id = s.user_id AND r.is_raw AND NOT s.is_raw AND abs(epoch_us(r.ts) - epoch_us(s.ts)) <= 3000000000""")
+def stream_pair(spark, sf):
+    e = table(spark, sf, "events")
+    rows = e.select(F.col("ts").cast("timestamp").alias("at"), F.col("user_id").cast("string").alias("dir"), F.lit("x").alias("stem"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("rel"), (F.col("event_id") % 2 == 0).alias("is_raw"))
+    return _drain(spark, rows, lambda s: live.paired(s, 3000, "3650 days").drop("at"), per_trigger=2)

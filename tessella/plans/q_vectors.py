@@ -110,3 +110,29 @@ def kmeans_named(spark, sf):
 @query("avg_linkage_groups")
 def avg_linkage_groups(spark, sf):
     return cluster.linkage_groups(vecs(spark, sf), "label", 0.7)
+
+
+PEOPLE_SQL = f"""{V_SQL}, q AS (SELECT * FROM v WHERE id % 7 <> 0), e AS (SELECT a.id AS a, b.id AS b FROM q a JOIN q b ON a.id <> b.id WHERE list_inner_product(a.vector, b.vector) >= 0.38),
+r AS (WITH RECURSIVE r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS id, min(b) AS root FROM r GROUP BY 1)
+SELECT root, count(DISTINCT id // 3) AS n, count(*) AS faces, arg_max(id, (id * 37 % 101) * 1000 - id) AS cover FROM r GROUP BY 1"""
+
+
+@query("people_listing", PEOPLE_SQL)
+def people_listing(spark, sf):
+    from tessella.operators import people
+
+    v = vecs(spark, sf)
+    faces = v.select("id", "vector", F.floor(F.col("id") / 3).alias("photo_id"), ((F.col("id") * 37) % 101).alias("score"), F.when(F.col("id") % 7 == 0, 8).otherwise(20).alias("w"), F.lit(20).alias("h"), F.lit(50.0).alias("eye_sharp"))
+    return people.listing(people.grouped(faces, 0.62), faces).select("root", "n", "faces", "cover")
+
+
+@query("product_groups")
+def product_groups(spark, sf):
+    from tessella.operators import products
+
+    v = vecs(spark, sf)
+    colour = F.when(F.col("id") % 5 != 0, F.array((F.col("id") % 3 * 30.0), F.lit(0.0), F.lit(0.0)))
+    # Three nearly equal rows for every vector: products of three.
+    near = F.transform("vector", lambda x, i: x.cast("double") + F.when(i == F.col("j"), 0.05).otherwise(0.0))
+    rows = v.filter("id < 120").withColumn("j", F.explode(F.array(*[F.lit(k) for k in range(3)]))).select("label", (F.col("id") * 3 + F.col("j")).alias("id"), near.alias("vector"), colour.alias("colour"))
+    return products.find(rows, "label")

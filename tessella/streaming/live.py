@@ -27,13 +27,15 @@ def deduplicated(frames: DataFrame) -> DataFrame:
     return frames.dropDuplicates(["rel", "size", "mtime"])
 
 
-def paired(frames: DataFrame, seconds: int = PAIR_SECONDS) -> DataFrame:
+def paired(frames: DataFrame, seconds: int = PAIR_SECONDS, late: str | None = None) -> DataFrame:
     """RAW frames with the standard file of the same folder and stem that arrives within some seconds, else alone.
 
-    frames: at (timestamp), dir, stem, rel, is_raw. A RAW waits for its partner for the limit, then goes on alone.
+    frames: at (timestamp), dir, stem, rel, is_raw. A RAW waits for its partner until nothing earlier is expected: `late`
+    says how far behind the newest frame others may come (the limit itself by default), then it goes on alone.
     """
-    raw = frames.filter("is_raw").withWatermark("at", f"{seconds} seconds").alias("r")
-    std = frames.filter("NOT is_raw").withWatermark("at", f"{seconds} seconds").alias("s")
+    late = late or f"{seconds} seconds"
+    raw = frames.filter("is_raw").withWatermark("at", late).alias("r")
+    std = frames.filter("NOT is_raw").withWatermark("at", late).alias("s")
     near = F.expr(f"r.dir = s.dir AND r.stem = s.stem AND s.at BETWEEN r.at - INTERVAL {seconds} SECONDS AND r.at + INTERVAL {seconds} SECONDS")
     return raw.join(std, near, "left_outer").select(F.col("r.rel").alias("raw"), F.col("s.rel").alias("standard"), F.col("r.at").alias("at"))
 
