@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,23 @@ def words_of(raw: bytes | None) -> list[bytes]:
     return raw.translate(WORD_TABLE).split() if raw else []
 
 
+def values(column: pa.Array) -> Iterator:
+    """Python values of a column, one at a time: a batch of texts is not copied as a whole."""
+    return (x.as_py() for x in column)
+
+
+def portions(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes of text in a column; a longer text is a slice by itself."""
+    start, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if i > start and size + n > most:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if len(batch) > start:
+        yield batch.slice(start)
+
+
 def fold(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)

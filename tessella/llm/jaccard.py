@@ -3,8 +3,10 @@
 Texts become sets of shingles of five words. Equal sets are one class from the start. Each set has a sketch of minwise
 tokens; two sets share a token with the probability of their similarity. A run samples one token as a root: sets that
 share it meet in a bucket. A bucket of more than LIMIT sets is split again on BRANCH tokens sampled by its path, level
-by level; small buckets are compared pair by pair on their sketches. Runs are repeated until a pair at the threshold is
-missed with a probability of at most 1 - RECALL. What is still large after DEPTH levels is compared in a grid of blocks.
+by level; small buckets are compared pair by pair on their sketches. A bucket whose sets are alike on average (two share
+a token with a probability of DENSE) would not come apart: it is compared at once, in a grid of blocks, as is what is
+still large after DEPTH levels. Runs are repeated until a pair at the threshold is missed with a probability of at most
+1 - RECALL.
 
 Candidates only have to connect: a bucket gives one row for each of its sets. Their connected components are then
 compared exactly, on the full shingle sets and each pair once, in a grid of blocks of bounded size; so the links counted
@@ -27,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import row_key, stored, table, words_of
+from tessella.llm._common import row_key, stored, table, values, words_of
 from tessella.llm._graph import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 1 - 1e-6
 #: Sets in a bucket that is compared pair by pair, tokens that a larger one is split on, and levels of splits.
 LIMIT, BRANCH, DEPTH = 256, 2, 4
+#: Average similarity from which a bucket is not split, and the sets in a block of the grid that it is compared in.
+DENSE, GRID_SETS = 0.5, 1024
 #: Tokens of a sketch; how far an estimate may fall below the threshold (four standard deviations).
 TOKENS = 64
 SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / TOKENS) ** 0.5
@@ -93,7 +97,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str, runs: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for raw in batch.column(2).to_pylist():
+            for raw in values(batch.column(2)):
                 tokens = shingles(raw)
                 if len(tokens):
                     key, (roots, sig) = xxhash.xxh3_128_digest(tokens.tobytes()), sketch(tokens, runs)
@@ -169,11 +173,10 @@ def compare_buckets(least: float) -> Callable:
             buckets, ka = t.column(0).to_numpy(), t.column(1).to_numpy()
             sig = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(len(t), TOKENS)
             sizes = np.diff(np.append(np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])), len(buckets)))
-            found = []
-            for i, j in pairs_within(sizes):
+            label = np.arange(len(t))
+            for i, j in pairs_within(sizes):  # edges are folded into the labels portion by portion
                 near = (sig[i] == sig[j]).sum(axis=1) >= least * TOKENS
-                found.append((i[near], j[near]))
-            label = lowest(len(t), np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])) if found else np.arange(len(t))
+                label = lowest(len(t), label[i[near]], label[j[near]])[label]
             at = np.flatnonzero(label != np.arange(len(t)))
             yield pa.RecordBatch.from_arrays([pa.array(ka[at]), pa.array(ka[label[at]])], names=["a", "b"])
 
@@ -195,25 +198,29 @@ def candidates(sets: DataFrame, least: float) -> DataFrame:
     def small(rows: DataFrame) -> DataFrame:
         return rows.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "ka", "sig").mapInArrow(compare, "a long, b long")
 
+    def grid(large: DataFrame) -> DataFrame:
+        blocks = large.withColumn("blocks", F.ceil(F.col("size") / GRID_SETS))
+        return gridded(blocks, "blocks", "bucket", "ka", "sig").select(F.xxhash64("bucket", "bi", "bj").alias("bucket"), "ka", "sig")
+
     for level in range(DEPTH + 1):
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
         rows = stored(rows.join(sizes, "bucket"), f"buckets-{level}")
         seen.append(small(rows.filter(F.col("size") <= LIMIT)))
         large = rows.filter(F.col("size") > LIMIT)
-        if level == DEPTH or large.isEmpty():
+        if large.isEmpty():
+            break
+        if level == DEPTH:
+            seen.append(small(grid(large)))
             break
         # A child is named by its parent, the token's place and its value.
-        split = F.explode(F.sequence(F.lit(0), F.lit(BRANCH - 1))).alias("k")
         place = (F.pmod(F.xxhash64("bucket", "k"), F.lit(TOKENS)) + 1).cast("int")
-        rows = large.select("bucket", "ka", "sig", split).select(
-            F.xxhash64("bucket", "k", F.substring(F.col("sig"), place, F.lit(1))).alias("bucket"), "ka", "sig"
-        )
-    else:
-        large = None
-    if level == DEPTH and not large.isEmpty():
-        blocks = large.withColumn("blocks", F.ceil(F.col("size") / LIMIT))
-        cells = gridded(blocks, "blocks", "bucket", "ka", "sig").select(F.xxhash64("bucket", "bi", "bj").alias("bucket"), "ka", "sig")
-        seen.append(small(cells))
+        split = large.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(BRANCH - 1))))
+        split = split.withColumn("child", F.xxhash64("bucket", "k", F.substring(F.col("sig"), place, F.lit(1))))
+        alike = F.sum(F.col("n") * F.col("n")) / F.first(F.col("size") * F.col("size")) / BRANCH
+        dense = split.groupBy("bucket", "size", "child").agg(F.count("*").alias("n")).groupBy("bucket").agg(alike.alias("alike"))
+        dense = stored(dense.filter(F.col("alike") >= DENSE).select("bucket"), f"dense-{level}")
+        seen.append(small(grid(large.join(dense, "bucket", "left_semi"))))
+        rows = split.join(dense, "bucket", "left_anti").select(F.col("child").alias("bucket"), "ka", "sig")
     for x in seen:
         out = x if out is None else out.unionByName(x)
     return out
@@ -316,19 +323,19 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     found = stored(near_duplicates(docs, doc_id=doc_id, text=text, **options).select("doc_id", "t", "root").filter("root IS NOT NULL"), "near-duplicates")
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("keep"), F.count("*").alias("size")).filter("size > 1")
     same = F.struct("doc_id", "t").eqNullSafe(F.col("keep"))
-    judged = found.join(first, "root").select(row_key(F.col("doc_id"), F.col("t.a"), F.col("t.b")).alias("_key"), same.alias("stays"))
+    judged = found.join(first, "root").select(row_key(F.col("doc_id"), F.col("t.a"), F.col("t.b")).alias("_tessella_key"), same.alias("stays"))
     judged = stored(judged, "judged-rows")
-    gone = judged.filter("NOT stays").select("_key").distinct()
-    repeated = judged.filter("stays").groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key")
+    gone = judged.filter("NOT stays").select("_tessella_key").distinct()
+    repeated = judged.filter("stays").groupBy("_tessella_key").agg(F.count("*").alias("n")).filter("n > 1").select("_tessella_key")
     t = row_key(F.col(text))
-    keyed = docs.withColumn("_key", row_key(F.col(doc_id), t["a"], t["b"]))
+    keyed = docs.withColumn("_tessella_key", row_key(F.col(doc_id), t["a"], t["b"]))
     if gone.count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    kept = keyed.join(gone, "_key", "left_anti")
+    kept = keyed.join(gone, "_tessella_key", "left_anti")
     if repeated.isEmpty():
-        return kept.drop("_key")
-    once = kept.join(repeated, "_key", "left_semi").dropDuplicates([doc_id, text])
-    return kept.join(repeated, "_key", "left_anti").unionByName(once).drop("_key")
+        return kept.drop("_tessella_key")
+    once = kept.join(repeated, "_tessella_key", "left_semi").dropDuplicates([doc_id, text])
+    return kept.join(repeated, "_tessella_key", "left_anti").unionByName(once).drop("_tessella_key")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
