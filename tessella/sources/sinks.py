@@ -76,4 +76,4 @@ def write_snapshot(path: str, **tables: DataFrame) -> None:
 def segment_bytes(items: DataFrame, segments: DataFrame) -> DataFrame:
     """(id, bytes) that trimmed segments would take: their share in the clip's length."""
     part = (F.col("end") - F.col("start")) / F.nullif(F.col("duration"), F.lit(0.0))
-    return items.join(segments, "id").groupBy("id").agg(F.sum(F.coalesce(F.col("size") * F.least(part, F.lit(1.0)), F.lit(0.0))).cast("long").alias("bytes"))
+    return items.join(segments, "id").groupBy("id").agg(F.sum(F.coalesce(F.col("size") * F.least(part, F.lit(1.0)), F.lit(0.0))).alias("_b")).select("id", F.floor(F.col("_b") + 1e-6).alias("bytes"))
