@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._common import table
+from tessella.llm._common import portions, table, values
 
 #: Distinct pre-tokens in each of the two generations that a worker process remembers, and the longest one it does.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
 
 
 class PerfectHash:
@@ -165,9 +165,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, shared, pattern)
-        for batch in batches:
+        for batch in (x for whole in batches for x in portions(whole, 1)):
             counts, digests, decoded, lists = [], [], [], []
-            for x in batch.column(1).to_pylist():
+            for x in values(batch.column(1)):
                 joined = codec.encode(x or "")
                 counts.append(joined.count(",") + 1 if joined else 0)
                 digests.append(hashlib.sha256(joined.encode()).hexdigest())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._common import table, words_of
+from tessella.llm._common import portions, table, values, words_of
 
 WIDTH, SLOP, RAREST = 10, 24, 4
 #: Characters of benchmark text in a block that is broadcast.
@@ -173,20 +173,6 @@ def matched(texts: list[bytes | None], block: Block, slop: int) -> list[tuple[in
     ]
 
 
-def portions(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
-    """The texts in portions of bounded size."""
-    own: list[bytes | None] = []
-    size = 0
-    for x in texts:
-        if own and size + len(x or b"") > PORTION_BYTES:
-            yield own
-            own, size = [], 0
-        own.append(x)
-        size += len(x or b"")
-    if own:
-        yield own
-
-
 def blocks_of(benchmark: DataFrame, item: str, text: str, width: int, block_chars: int) -> Iterator[Block]:
     """The benchmark in blocks of about block_chars characters, one at a time on the driver."""
     rows = benchmark.filter(F.col(item).isNotNull()).select(
@@ -207,7 +193,7 @@ def corpus_counts(texts: DataFrame, block: Block) -> dict[bytes, int]:
         get, n = terms.value.get, len(terms.value)
         total = np.zeros(n + 1, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
+            for raw in values(batch.column(0)):
                 words = words_of(raw)
                 total += np.bincount(np.fromiter((get(w, n) for w in words), np.int32, len(words)), minlength=n + 1)
         at = np.flatnonzero(total[:n])
@@ -238,16 +224,14 @@ def match_documents(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
-            for batch in batches:
-                texts, was = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                found = []
-                for own in portions(texts):
-                    for n, spans, items, near in matched(own, block, slop):
-                        if before := was[len(found)]:
-                            spans = united(spans + [(x["start"], x["end"]) for x in before["hits"]])
-                            items, near = items | {*before["items"]}, near | {*before["near"]}
-                        hits = [{"start": s, "end": e} for s, e in spans]
-                        found.append({"n_words": n, "hits": hits, "items": sorted(items), "near": sorted(near)})
+            for batch in (x for whole in batches for x in portions(whole, 1, PORTION_BYTES)):
+                found, was = [], batch.column(2).to_pylist()
+                for n, spans, items, near in matched(batch.column(1).to_pylist(), block, slop):
+                    if before := was[len(found)]:
+                        spans = united(spans + [(x["start"], x["end"]) for x in before["hits"]])
+                        items, near = items | {*before["items"]}, near | {*before["near"]}
+                    hits = [{"start": s, "end": e} for s, e in spans]
+                    found.append({"n_words": n, "hits": hits, "items": sorted(items), "near": sorted(near)})
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(found, batch.schema.field(2).type)], names=["row", "raw", "found"]
                 )

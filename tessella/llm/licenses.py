@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import table, words_of
+from tessella.llm._common import table, values, words_of
 
 # Phrases and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -165,7 +165,7 @@ def scan_licenses(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
         kind = to_arrow_type(schema["found"].dataType)
         for batch in batches:
-            found = [scan(x) for x in batch.column(1).to_pylist()]
+            found = [scan(x) for x in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["row", "found"])
 
     return packed.mapInArrow(run, schema)

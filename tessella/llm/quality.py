@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import stored, table, words_of
+from tessella.llm._common import stored, table, values, words_of
 
 #: Most labelled rows that a fit takes, and their partitions.
 MAX_ROWS, FIT_PARTITIONS = 200_000, 16
@@ -130,7 +130,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [statistics(raw) for raw in batch.column(1).to_pylist()]
+            x = [statistics(raw) for raw in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["row", "x"])
 
     return packed.mapInArrow(run, schema)
@@ -210,7 +210,7 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(raw) for raw in batch.column(1).to_pylist()])
+            x = np.array([statistics(raw) for raw in values(batch.column(1))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x), pa.float64())], names=["row", "score"])
 
     return packed.mapInArrow(run, schema)
