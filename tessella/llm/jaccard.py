@@ -37,9 +37,8 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 1 - 1e-6
 LIMIT, BRANCH, DEPTH = 256, 2, 4
 #: Average similarity from which a bucket is not split, and the sets in a block of the grid that it is compared in.
 DENSE, GRID_SETS = 0.5, 1024
-#: Tokens of a sketch; how far an estimate may fall below the threshold (four standard deviations).
+#: Tokens of a sketch.
 TOKENS = 64
-SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / TOKENS) ** 0.5
 #: Sets and shingles of a block of the exact grid.
 BLOCK_SETS, BLOCK_SHINGLES = 384, 400_000
 #: Keys that may be broadcast (16 bytes each); more are joined by a shuffle.
@@ -62,6 +61,11 @@ def runs_for(threshold: float, recall: float, branch: int = BRANCH) -> int:
     return ceil(log(1 - recall) / log(1 - threshold * (1 - missed)))
 
 
+def slack(threshold: float) -> float:
+    """How far an estimate may fall below the threshold: four standard deviations."""
+    return 4 * (threshold * (1 - threshold) / TOKENS) ** 0.5
+
+
 def shingles(raw: bytes | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     words = words_of(raw)
@@ -288,7 +292,7 @@ def near_duplicates(
         F.first("roots").alias("roots"), F.first("sig").alias("sig"),
     )
     sets = stored(sets, "sets")
-    found = components(candidates(sets, threshold - SLACK))
+    found = components(candidates(sets, threshold - slack(threshold)))
     members = found.select(F.col("v").alias("ka"), "root").unionByName(found.select(F.col("root").alias("ka"), "root").distinct())
     members = stored(sets.select("ka", "kb", "t", "n").join(members, "ka"), "members")
     groups = members.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
