@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
+from tessella.sources.shared import stored
 
 #: Columns that a new reading of a file resets.
 DERIVED = ("embed", "category", "category_score", "category_guess", "category_guess_score", "cluster", "cluster_score", "focus", "shot_size", "problem")
@@ -25,7 +26,7 @@ def pair_raw(files: DataFrame) -> DataFrame:
     for scope in (["_dir", "_stem"], ["_up", "_stem"], ["_stem"]):
         first = len(scope) == 2 and scope[0] == "_dir"
         once = lambda df, name: df.groupBy(*scope).agg(F.min("rel").alias(name), F.count("*").alias("_n")).filter(F.lit(first) | (F.col("_n") == 1)).drop("_n")  # noqa: B023, E731
-        pairs = once(std, "rel").join(once(raw, "sibling"), scope).select("rel", "sibling")
+        pairs = stored(once(std, "rel").join(once(raw, "sibling"), scope).select("rel", "sibling"), "pairs")
         done = pairs if done is None else done.unionByName(pairs)
         std = std.join(pairs.select("rel"), "rel", "left_anti")
         raw = raw.join(pairs.select(F.col("sibling").alias("rel")), "rel", "left_anti")

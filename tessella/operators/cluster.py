@@ -57,10 +57,11 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if now == was:
             return labels.select(F.col("v").alias("id"), "root")
         was = now
-        spread = both.join(labels.select(F.col("v").alias("w"), "root"), "w").groupBy("v").agg(F.min("root").alias("low"))
-        met = labels.join(spread, "v").select("v", F.least("root", "low").alias("root"))
-        jump = met.select(F.col("v").alias("root"), F.col("root").alias("far"))
-        labels = met.join(jump, "root", "left").select("v", F.least("root", F.coalesce("far", "root")).alias("root"))
+        for _ in range(2):  # two hops for each table that is written
+            spread = both.join(labels.select(F.col("v").alias("w"), "root"), "w").groupBy("v").agg(F.min("root").alias("low"))
+            labels = labels.join(spread, "v").select("v", F.least("root", "low").alias("root"))
+        jump = labels.select(F.col("v").alias("root"), F.col("root").alias("far"))
+        labels = labels.join(jump, "root", "left").select("v", F.least("root", F.coalesce("far", "root")).alias("root"))
     raise RuntimeError(f"no fixed point in {most_rounds} rounds")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.operators import filters
+from tessella.operators.sequence import numbered
 
 
 def order_of(sort: str = "oldest") -> list[Column]:
@@ -23,20 +24,9 @@ def order_of(sort: str = "oldest") -> list[Column]:
 
 
 def sharp_percentile(items: DataFrame) -> DataFrame:
-    """sharp_pct: rank by sharpness (ties by id) as a percentage.
-
-    Ranks over all rows need no single task: rows are counted by value first, the counts of smaller values are summed up
-    over the values' buckets, and rows are numbered within their own value alone.
-    """
-    x = items.withColumn("_s", F.coalesce("sharp", F.lit(0.0)))
-    b = F.floor(F.signum("_s") * F.log1p(F.abs("_s")) * 64)
-    x = x.withColumn("_b", b)
-    sizes = x.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("_b", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    nth = F.row_number().over(Window.partitionBy("_b").orderBy("_s", "id")) - 1
-    pct = (F.col("_before") + nth) / F.greatest(F.col("_all") - 1, F.lit(1)) * 100
-    return x.join(F.broadcast(sizes), "_b").withColumn("sharp_pct", pct).drop("_s", "_b", "_before", "_all")
+    """sharp_pct: rank by sharpness (ties by id) as a percentage. Ranks are numbered range by range, in no single task."""
+    rows = numbered(items.withColumn("_s", F.coalesce("sharp", F.lit(0.0))), "_s", "id", name="_rank", total="_rows")
+    return rows.withColumn("sharp_pct", F.col("_rank") / F.greatest(F.col("_rows") - 1, F.lit(1)) * 100).drop("_s", "_rank", "_rows")
 
 
 def ranked(items: DataFrame, f: filters.Filters, sort: str = "oldest", score: Column | None = None) -> tuple[DataFrame, list[Column]]:
