@@ -29,6 +29,8 @@ MIN_SITES = 5
 #: Error that gives a sketch of 32 registers.
 RSD = 0.2
 REGISTERS = 32
+#: Boilerplate lines whose first places (50 bytes each) may be broadcast; more are joined by a shuffle.
+BROADCAST_LINES = 500_000
 
 
 def sure_above(min_sites: int) -> int:
@@ -80,7 +82,9 @@ def remove_boilerplate(
         lines.join(boilerplate(lines, min_sites), ["ha", "hb"], "left_semi").select("ha", "hb", F.struct("d", "ka", "kb", "pos").alias("at")),
         "common-lines",
     )
-    first = common.groupBy("ha", "hb").agg(F.min("at").alias("first"))
+    first = stored(common.groupBy("ha", "hb").agg(F.min("at").alias("first")), "first-lines")
+    if first.count() <= BROADCAST_LINES:
+        first = F.broadcast(first)
     lost = (
         common.join(first, ["ha", "hb"]).filter(~F.col("at").eqNullSafe(F.col("first")))
         .groupBy(F.struct(F.col("at.ka").alias("a"), F.col("at.kb").alias("b")).alias("key")).agg(F.collect_set("at.pos").alias("gone"))
