@@ -73,3 +73,33 @@ def replace_children(spark, sf):
 @query("sidecar_cards", f"""{WITH} SELECT regexp_replace(rel, '\\.jpg$', '.xmp') AS path, CASE WHEN flag = 'reject' THEN -1 ELSE coalesce(rating, 0) END AS stars FROM items WHERE flag IS NOT NULL OR coalesce(rating, 0) > 0 OR label IS NOT NULL""")
 def sidecar_cards(spark, sf):
     return sinks.sidecars(items(spark, sf)).select("path", F.regexp_extract("xml", 'Rating="(-?[0-9]+)"', 1).cast("long").alias("stars"))
+
+
+RULES_SQL = f"""{WITH}, r AS (SELECT id, category, guess, duration * 10 AS duration, n_faces, category_score AS score, category_guess_score AS guess_score, scene, scene_p FROM (SELECT *, CASE WHEN category = 'view' THEN 'interview' ELSE category_guess END AS guess, 'beach' AS scene, (id % 100) / 300.0 AS scene_p FROM items)),
+f AS (SELECT *, coalesce(duration >= 600 AND (coalesce(category IN ('people', 'interview'), FALSE) OR coalesce(guess IN ('people', 'interview'), FALSE)), FALSE) AS talk FROM r),
+g AS (SELECT *, NOT talk AND coalesce(n_faces >= 1, FALSE) AS faces FROM f)
+SELECT id, CASE WHEN talk THEN 'interview' WHEN faces THEN 'people' ELSE category END AS new_category, CASE WHEN talk THEN greatest(score, guess_score) WHEN faces THEN 1.0 ELSE score END AS new_score,
+CASE WHEN NOT faces THEN guess WHEN coalesce(category NOT IN ('people', 'interview', 'other'), FALSE) THEN category WHEN scene_p >= 0.15 THEN scene ELSE 'people' END AS new_guess FROM g"""
+
+
+@query("classify_rules", RULES_SQL)
+def classify_rules(spark, sf):
+    from tessella.operators import rules
+
+    guess = F.when(F.col("category") == "view", "interview").otherwise(F.col("category_guess"))
+    rows = items(spark, sf).select(
+        "id", "category", guess.alias("guess"), (F.col("duration") * 10).alias("duration"), "n_faces", F.col("category_score").alias("score"),
+        F.col("category_guess_score").alias("guess_score"), F.lit("beach").alias("scene"), ((F.col("id") % 100) / 300.0).alias("scene_p"),
+    )
+    return rules.classified(rows).select("id", "new_category", "new_score", "new_guess")
+
+
+@query("lifecycle", """WITH k AS (SELECT o_orderkey AS rel, CASE o_orderkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'pending' WHEN 2 THEN 'missing' ELSE 'error' END AS status FROM orders WHERE o_orderkey % 5 <> 0),
+s AS (SELECT o_orderkey AS rel, CASE WHEN o_orderkey % 9 = 0 THEN 'error' ELSE 'ok' END AS outcome FROM orders WHERE o_orderkey % 3 = 0)
+SELECT * FROM (SELECT coalesce(k.rel, s.rel) AS rel, CASE WHEN outcome IS NOT NULL THEN outcome WHEN status = 'ok' THEN 'missing' WHEN status = 'pending' THEN NULL ELSE status END AS status FROM k FULL JOIN s ON k.rel = s.rel) WHERE status IS NOT NULL""")
+def lifecycle(spark, sf):
+    from tessella.operators import rules
+
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    known = o.filter(k % 5 != 0).select(k.alias("rel"), F.when(k % 4 == 0, "ok").when(k % 4 == 1, "pending").when(k % 4 == 2, "missing").otherwise("error").alias("status"))
+    return rules.lifecycle(known, o.filter(k % 3 == 0).select(k.alias("rel"), F.when(k % 9 == 0, "error").otherwise("ok").alias("outcome")))
