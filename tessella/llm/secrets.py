@@ -26,6 +26,8 @@ ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 #: Characters in the sliding window.
 WINDOW = 20
+#: Characters of a candidate that are slid over in one go.
+PIECE = 256
 #: Candidates: runs of a window's length and more with a letter and a digit.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
 #: Bits a character at which a window is taken for random, of a class of at most log2(20) = 4.32 here.
@@ -39,9 +41,9 @@ ALLOWED = [
 ]
 
 
-def window_entropy(value: Column, width: int, bits: Column) -> Column:
-    """Struct(first, last): starts of the first and last window with at least these bits a character; null if none."""
-    chars = F.split(value, "")
+def window_entropy(chars: Column, width: int, bits: Column) -> Column:
+    """Struct(s, first, last): starts of the first and last window of a piece with at least these bits a character; null
+    if none. chars: a lambda's variable or a field of one, as other expressions would be worked out anew in each step."""
     table_of = F.array(*[F.lit(k * log2(k) if k else 0.0) for k in range(width + 1)])
     weight = lambda k: F.element_at(table_of, k + 1)
     counted = lambda part, c: F.size(F.filter(part, lambda y: y == c))
@@ -68,13 +70,31 @@ def window_entropy(value: Column, width: int, bits: Column) -> Column:
     return F.aggregate(steps, zero, slide)
 
 
+def candidate_entropy(value: Column, width: int, bits: Column) -> Column:
+    """Struct(first, last) over a whole candidate, which is cut into pieces that overlap by a window less one character:
+    so every window is in one piece, and the work on a long candidate stays in proportion to its length."""
+    step = PIECE - width + 1
+    starts = F.sequence(F.lit(0), F.floor((F.length(value) - width) / step).cast("int"))
+    pieces = F.transform(
+        starts, lambda k: F.struct((k * step).alias("at"), F.split(F.substring(value, k * step + 1, F.lit(PIECE)), "").alias("chars"), bits.alias("bits"))
+    )
+    judged = F.transform(pieces, lambda p: F.struct(p["at"].alias("at"), window_entropy(p["chars"], width, p["bits"]).alias("w")))
+    none = F.lit(None).cast("int")
+    return F.aggregate(
+        judged, F.struct(none.alias("first"), none.alias("last")),
+        lambda acc, p: F.struct(
+            F.least(acc["first"], p["at"] + p["w"]["first"]).alias("first"), F.greatest(acc["last"], p["at"] + p["w"]["last"]).alias("last")
+        ),
+    )
+
+
 def entropy_spans(found: Column, width: int = WINDOW, allowed: list[str] = ALLOWED) -> Column:
     """The random parts of candidates, as spans of kind `entropy`."""
     known = lambda v: F.coalesce(*[F.when(v.rlike(a), F.lit(True)) for a in allowed], F.lit(False))
 
     def judged(x: Column) -> Column:
         bits = F.when(x["value"].rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), HEX_BITS).otherwise(MIXED_BITS)
-        return F.struct(x.alias("span"), window_entropy(x["value"], width, bits).alias("at"))
+        return F.struct(x.alias("span"), candidate_entropy(x["value"], width, bits).alias("at"))
 
     some = F.filter(F.transform(F.filter(found, lambda x: ~known(x["value"])), judged), lambda y: y["at"]["first"].isNotNull())
     return F.transform(
