@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tessella.llm._common import portions, table, values
 
 #: Distinct pre-tokens in each of the two generations that a worker process remembers, and the longest one it does.
-CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 230_000, 48
 
 
 class PerfectHash:
