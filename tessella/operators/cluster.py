@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import discover_k
+from tessella.operators.sequence import numbered
 from tessella.sources.shared import stored
 
 #: Vectors in a block of the pairwise comparison.
@@ -167,12 +168,13 @@ def named_clusters(df: DataFrame, labels: list[str], words: np.ndarray, k: int |
     return rows.join(F.broadcast(span), "cluster").select("id", "cluster", "name", close.alias("closeness"))
 
 
-def average_linkage(m: np.ndarray, cut: float) -> np.ndarray:
-    """Groups of rows by average linkage of a distance matrix, up to a distance; numbered by size, then first row."""
+def average_linkage(m: np.ndarray, cut: float, weight: np.ndarray | None = None) -> np.ndarray:
+    """Groups of rows by average linkage of a distance matrix, up to a distance; numbered by size, then first row. A row
+    may stand for a number of equal ones, its weight."""
     n = len(m)
     d = m.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, group = np.ones(n), [[i] for i in range(n)]
+    size, group = np.ones(n) if weight is None else weight.astype(float), [[i] for i in range(n)]
     alive = np.ones(n, bool)
     while alive.sum() > 1:
         i, j = np.unravel_index(np.argmin(d), d.shape)
@@ -193,17 +195,117 @@ def average_linkage(m: np.ndarray, cut: float) -> np.ndarray:
     return out
 
 
-def linkage_groups(df: DataFrame, key: str, cut: float, most: int = 4000) -> DataFrame:
-    """(key, id, group) by average linkage of cosine distance within each value of key, of at most `most` rows each: the
-    clustering needs all distances of a group, so a larger one is an error and is to be split by a finer key first."""
+def cosine_linkage(unit: np.ndarray, cut: float) -> np.ndarray:
+    """The groups of average_linkage() of the cosine distances of unit rows, without their matrix.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError(f"{len(rows)} rows share a key; average linkage takes at most {most}")
-        rows = rows.sort_values("id")
+    The mean distance of two groups is one less the product of their means, so a mean stands for each group. Chains of
+    nearest neighbours merge the same groups as closest pairs first do, as a merge brings no group nearer to others. A group
+    whose nearest is beyond the cut stays as it is. Memory grows with the rows, time with their square.
+    """
+    mean, size, group = unit.astype(float), np.ones(len(unit)), [[i] for i in range(len(unit))]
+    alive, done, chain = np.ones(len(unit), bool), [], []
+    while alive.any():
+        if not chain:
+            if alive.sum() * 2 < len(alive):
+                mean, size, group, alive = mean[alive], size[alive], [g for g, a in zip(group, alive, strict=True) if a], alive[alive]
+            chain.append(int(alive.argmax()))
+        i = chain[-1]
+        sims = mean @ mean[i]
+        sims[~alive] = -np.inf
+        sims[i] = -np.inf
+        j = int(sims.argmax())
+        if len(chain) > 1 and sims[chain[-2]] >= sims[j] - 1e-12:
+            j = chain[-2]
+        if 1 - sims[j] > cut:
+            # All that is before it in a chain would be nearer, so it is alone there; else rounding is at play.
+            chain.pop()
+            alive[i] = False
+            done.append(group[i])
+        elif len(chain) > 1 and j == chain[-2]:
+            del chain[-2:]
+            mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
+            size[i] += size[j]
+            group[i] = group[i] + group[j]
+            alive[j] = False
+        else:
+            chain.append(j)
+    out = np.zeros(len(unit), int)
+    for k, g in enumerate(sorted(done, key=lambda g: (-len(g), min(g)))):
+        out[g] = k
+    return out
+
+
+def spanning_forest(near: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges that connect what a symmetric matrix connects: fewer than it has rows."""
+    left, a, b = np.ones(len(near), bool), [], []
+    for first in range(len(near)):
+        stack = [first] if left[first] else []
+        left[first] = False
+        while stack:
+            v = stack.pop()
+            new = np.flatnonzero(near[v] & left)
+            left[new] = False
+            a += [v] * len(new)
+            b += new.tolist()
+            stack += new.tolist()
+    return a, b
+
+
+def within_links(df: DataFrame, key: str, min_sim: float, work, name: str, more: str = "") -> DataFrame:
+    """(key, id, name, more) by a function of the rows of a component: of the pairs of a key's rows at a cosine or more.
+
+    work: rows of one component in the order of id -> frame of id, name (numbers of its own) and the columns of `more`. Groups
+    are numbered over the whole key, by size, then smallest id. Pairs are compared in a grid of blocks for each key, of which a
+    cell hands on a spanning forest; components are dealt over tasks. A component is worked on in one task.
+    """
+    kind, blocks = df.schema[key].dataType.simpleString(), F.ceil(F.col("_n") / BLOCK).cast("int")
+    # Vertices are hashes; should two rows share one, their components meet in one task, which changes no result.
+    rows = stored(df.withColumn("_v", F.shiftrightunsigned(F.xxhash64(key, "id"), 28)), "rows")
+    large = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK).select("_key", blocks.alias("_blocks"))
+    rows = rows.join(F.broadcast(stored(large, "large")), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("_v"), F.col("_blocks")).cast("int")
+    sent = rows.select(key, "_v", "vector", "_blocks", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cells = sent.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "_v", "vector")
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        m = np.array(cell["vector"].tolist(), np.float64)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        v = cell["_v"].to_numpy()
+        a, b = spanning_forest(m @ m.T >= min_sim)
+        return pd.DataFrame({"a": v[a], "b": v[b]}, dtype="int64")
+
+    roots = components(cells.groupBy(key, "i", "j").applyInPandas(compare, "a long, b long"))
+    parts = rows.join(roots.withColumnRenamed("id", "_v"), "_v", "left").withColumn("_root", F.coalesce("root", "_v")).drop("root")
+    parts = parts.withColumn("_task", F.pmod(F.xxhash64("_root"), F.col("_blocks") * 4))
+
+    def run(task: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in task.sort_values("id").groupby("_root", sort=False):
+            got = work(part.reset_index(drop=True))
+            if len(got):
+                per = got.groupby(name)["id"]
+                out.append(got.assign(_first=per.transform("min"), _size=per.transform("size")))
+        got = pd.concat(out) if out else pd.DataFrame(columns=columns)
+        return got.assign(**{key: task[key].iat[0]})[columns]
+
+    columns = [key, "id", *[c.split()[0] for c in more.split(", ") if c], "_first", "_size"]
+    found = parts.groupBy(key, "_task").applyInPandas(run, f"{key} {kind}, id long, {more + ', ' if more else ''}_first long, _size long")
+    found = stored(found, "found")
+    groups = numbered(found.select(F.col(key).alias("_key"), (-F.col("_size")).alias("_less"), "_first").distinct(), "_key", "_less", "_first", name="_at")
+    groups = stored(groups, "groups")
+    start = groups.groupBy(F.col("_key").alias("_of")).agg(F.min("_at").alias("_start"))
+    groups = groups.join(start, F.col("_key").eqNullSafe(F.col("_of"))).select("_key", F.col("_first").alias("_f"), (F.col("_at") - F.col("_start")).cast("int").alias(name))
+    joined = found.join(groups, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_first") == F.col("_f")))
+    return joined.select(key, "id", name, *[c.split()[0] for c in more.split(", ") if c])
+
+
+def linkage_groups(df: DataFrame, key: str, cut: float) -> DataFrame:
+    """(key, id, group) by average linkage of cosine distance within each value of key, of any size. Groups never reach
+    across components of the pairs within the cut, so each component is clustered on its own."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
         m = np.array(rows["vector"].tolist(), np.float64)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        return pd.DataFrame({key: rows[key], "id": rows["id"], "group": average_linkage(1 - m @ m.T, cut)})
+        return pd.DataFrame({"id": rows["id"], "group": cosine_linkage(m, cut)})
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "id", "vector").groupBy(key).applyInPandas(run, f"{key} {kind}, id long, group int")
+    return within_links(df.select(key, "id", "vector"), key, 1 - cut - 1e-9, work, "group")

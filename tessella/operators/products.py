@@ -6,18 +6,27 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessella.operators.cluster import average_linkage
+from tessella.operators.cluster import average_linkage, cosine_linkage, within_links
 
 PRODUCT, VARIANT, VIEW = 0.11, 21.0, 0.03
 #: Hues by name, as Lab.
 COLOURS = {"red": (53, 80, 67), "green": (46, -52, 50), "blue": (32, 79, -108), "yellow": (97, -22, 94), "white": (100, 0, 0), "grey": (54, 0, 0), "black": (0, 0, 0)}
 
 
+def colour_linkage(lab: np.ndarray, cut: float) -> np.ndarray:
+    """Average linkage of colours: equal ones merge before all others, so a distinct colour stands for its rows."""
+    own, of, n = np.unique(lab, axis=0, return_inverse=True, return_counts=True)
+    found = average_linkage(np.linalg.norm(own[:, None] - own[None, :], axis=2), cut, n)[of.ravel()] if len(lab) else np.zeros(0, int)
+    first = {g: i for i, g in reversed(list(enumerate(found)))}
+    order = {g: k for k, g in enumerate(sorted(first, key=lambda g: (-(found == g).sum(), first[g])))}
+    return np.array([order[g] for g in found], int)
+
+
 def group(vectors: np.ndarray, colours: list) -> list[tuple[int, int, int]]:
     """(product, variant, view) of each row, -1 for a row without a product: average linkage of cosine distance, then of
     colour inside a product (rows without a colour are a variant of their own), then of cosine distance inside a variant."""
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    product = average_linkage(1 - unit @ unit.T, PRODUCT)
+    product = cosine_linkage(unit, PRODUCT)
     out = [(-1, -1, -1)] * len(unit)
     for p in range(product.max() + 1 if len(product) else 0):
         rows = np.flatnonzero(product == p)
@@ -25,12 +34,12 @@ def group(vectors: np.ndarray, colours: list) -> list[tuple[int, int, int]]:
             continue
         seen = [i for i in rows if colours[i] is not None]
         lab = np.array([colours[i] for i in seen], float).reshape(-1, 3)
-        variant = dict(zip(seen, average_linkage(np.linalg.norm(lab[:, None] - lab[None, :], axis=2), VARIANT).tolist(), strict=True))
+        variant = dict(zip(seen, colour_linkage(lab, VARIANT).tolist(), strict=True))
         blank = max(variant.values(), default=-1) + 1
         for v in range(blank + 1):
             own = np.array([i for i in rows if variant.get(i, blank) == v], int)
             if len(own):
-                for i, view in zip(own, average_linkage(1 - unit[own] @ unit[own].T, VIEW), strict=True):
+                for i, view in zip(own, cosine_linkage(unit[own], VIEW), strict=True):
                     out[i] = (int(p), int(v), int(view))
     return out
 
@@ -39,17 +48,13 @@ def colour_name(lab) -> str:
     return min(COLOURS, key=lambda c: sum((a - b) ** 2 for a, b in zip(COLOURS[c], lab, strict=True)))
 
 
-def find(items: DataFrame, shoot: str = "shoot", most: int = 4000) -> DataFrame:
-    """(shoot, id, product, variant, view) of items (shoot, id, vector, colour) with a product, one shoot at a time; the
-    clustering needs all distances of a shoot, so one of more than `most` rows is an error."""
+def find(items: DataFrame, shoot: str = "shoot") -> DataFrame:
+    """(shoot, id, product, variant, view) of items (shoot, id, vector, colour) with a product, by shoot. Products never reach
+    across components of the pairs within PRODUCT, so each component is looked at on its own."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError(f"{len(rows)} rows in a shoot; products are found among {most} at most")
-        rows = rows.sort_values("id")
-        found = group(np.array(rows["vector"].tolist(), np.float64), list(rows["colour"]))
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        found = group(np.array(rows["vector"].tolist(), np.float64), list(rows["colour"])) if len(rows) > 1 else []
         out = pd.DataFrame(found, columns=["product", "variant", "view"])
-        return out.assign(**{shoot: rows[shoot].to_numpy(), "id": rows["id"].to_numpy()}).query("product >= 0")
+        return out.assign(id=rows["id"][: len(out)]).query("product >= 0")
 
-    kind = items.schema[shoot].dataType.simpleString()
-    return items.select(shoot, "id", "vector", "colour").groupBy(shoot).applyInPandas(run, f"{shoot} {kind}, id long, product int, variant int, view int")
+    return within_links(items.select(shoot, "id", "vector", "colour"), shoot, 1 - PRODUCT - 1e-9, work, "product", "variant int, view int")
