@@ -77,7 +77,7 @@ def linked_groups(vectors: DataFrame, min_sim: float, same: DataFrame | None = N
 def kept_names(new: DataFrame, old: DataFrame) -> DataFrame:
     """(root, name): each new group takes the most common old name among its members, ties to the smaller."""
     votes = new.join(old, "id").groupBy("root", "name").agg(F.count("*").alias("n"))
-    return votes.groupBy("root").agg(F.max_by("name", F.struct("n", F.hash("name"))).alias("name"))
+    return votes.groupBy("root").agg(F.min_by("name", F.struct(-F.col("n"), "name")).alias("name"))
 
 
 def kmeans(df: DataFrame, k: int | None = None, rounds: int = 12, seed: int = 7) -> tuple[DataFrame, np.ndarray]:

@@ -91,14 +91,28 @@ def eps_components(spark, sf):
     return cluster.linked_groups(vecs(spark, sf), 0.38)
 
 
+def _same(v):
+    """Decisions (a, b) over all ids, where both are in the table."""
+    pairs = v.filter("id % 50 = 1").select(F.col("id").alias("a"), (F.col("id") + 100).alias("b"))
+    return pairs.join(v.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+
+
+# The SQL bounds its decisions by id 499, as in the 500 rows it was written for; on larger tables it links fewer rows.
 @query("linked_groups_kept_names", f"""{V_SQL}, e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id WHERE list_inner_product(a.vector, b.vector) >= 0.4
   UNION SELECT id, id + 100 FROM v WHERE id % 50 = 1 AND id + 100 <= 499 UNION SELECT id + 100, id FROM v WHERE id % 50 = 1 AND id + 100 <= 499),
 r AS (WITH RECURSIVE r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS id, min(b) AS root FROM r GROUP BY 1)
 SELECT root, count(*) AS n FROM r GROUP BY 1""")
 def linked_groups(spark, sf):
     v = vecs(spark, sf)
-    same = v.filter("id % 50 = 1 AND id + 100 <= 499").select(F.col("id").alias("a"), (F.col("id") + 100).alias("b"))
-    return cluster.linked_groups(v, 0.4, same).groupBy("root").agg(F.count("*").alias("n"))
+    return cluster.linked_groups(v, 0.4, _same(v)).groupBy("root").agg(F.count("*").alias("n"))
+
+
+@query("linked_groups_named")
+def linked_groups_named(spark, sf):
+    v = vecs(spark, sf)
+    old = v.filter("id % 4 = 1").select("id", F.concat(F.lit("name "), (F.col("id") % 30).cast("string")).alias("name"))
+    groups = cluster.linked_groups(v, 0.4, _same(v))
+    return groups.join(cluster.kept_names(groups, old), "root", "left").select("id", "root", "name")
 
 
 @query("kmeans_named")
@@ -134,5 +148,5 @@ def product_groups(spark, sf):
     colour = F.when(F.col("id") % 5 != 0, F.array((F.col("id") % 3 * 30.0), F.lit(0.0), F.lit(0.0)))
     # Three nearly equal rows for every vector: products of three.
     near = F.transform("vector", lambda x, i: x.cast("double") + F.when(i == F.col("j"), 0.05).otherwise(0.0))
-    rows = v.filter("id < 120").withColumn("j", F.explode(F.array(*[F.lit(k) for k in range(3)]))).select("label", (F.col("id") * 3 + F.col("j")).alias("id"), near.alias("vector"), colour.alias("colour"))
+    rows = v.withColumn("j", F.explode(F.array(*[F.lit(k) for k in range(3)]))).select("label", (F.col("id") * 3 + F.col("j")).alias("id"), near.alias("vector"), colour.alias("colour"))
     return products.find(rows, "label")
