@@ -11,10 +11,11 @@ from pyspark.sql.window import Window
 
 
 def coverage_pick(rows: pd.DataFrame, n: int) -> list[int]:
-    """Up to n ids of (id, variant, angle, score): every variant first, then every angle, then the variants with fewest
-    picks; larger scores first, ties to the smaller id."""
+    """Up to n ids of (id, variant, angle, score): every variant first, the largest first, then every angle, then the
+    variants with fewest picks; larger scores first, ties to the smaller id. Where rows are left out, `size` has their
+    variants' sizes."""
     left = rows.sort_values(["score", "id"], ascending=[False, True]).to_dict("records")
-    size = Counter(r["variant"] for r in left)
+    size = Counter(r["variant"] for r in left) if "size" not in rows else {r["variant"]: r["size"] for r in left}
     per_variant, per_angle, picked = Counter(), Counter(), []
     angle = lambda r: None if pd.isna(r["angle"]) else r["angle"]
 
@@ -39,19 +40,20 @@ def coverage_pick(rows: pd.DataFrame, n: int) -> list[int]:
     return picked
 
 
-def pick_each(df: DataFrame, n: int, keep: int = 512) -> DataFrame:
+def pick_each(df: DataFrame, n: int) -> DataFrame:
     """(product, id) of a coverage pick in each product.
 
-    A pick of n needs of each variant and angle its n best rows only, so others go before the rows of a product meet.
+    A pick of n needs of each variant and angle its n best rows only, so others go before the rows of a product meet. Variants
+    are ordered by their sizes before that.
     """
     best = F.row_number().over(Window.partitionBy("product", "variant", "angle").orderBy(F.desc("score"), "id"))
-    counted = df.withColumn("_size", F.count("*").over(Window.partitionBy("product", "variant")))
+    counted = df.withColumn("size", F.count("*").over(Window.partitionBy("product", "variant")))
     rows = counted.withColumn("_r", best).filter(F.col("_r") <= n)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"product": p["product"].iat[0], "id": coverage_pick(p, n)})
 
-    return rows.select("product", "id", "variant", "angle", "score").groupBy("product").applyInPandas(run, "product string, id long")
+    return rows.select("product", "id", "variant", "angle", "score", "size").groupBy("product").applyInPandas(run, "product string, id long")
 
 
 def split_total(total: int, weights: dict[int, int], caps: dict[int, int]) -> dict[int, int]:
