@@ -2,8 +2,8 @@
 
 Base kinds are patterns (assignments, access keys, long hex). The method then takes candidate strings, one class of
 characters at a time, and slides a window over each: the Shannon entropy of the window is kept up to date from the
-counts of the character that enters and the one that leaves. Where it reaches the class's threshold, the candidate
-holds a secret from the first such window's start to the last one's end, unless the allow-list knows the candidate.
+counts of the character that enters and the one that leaves. Each run of windows that reach the class's threshold and are
+clear of base spans is a secret, from the first one's start to the last one's end, unless the allow-list knows it.
 The work is a projection: no shuffle and no state beyond a row.
 
 Defined results: null and empty texts have no spans; repeated rows get the same result each; texts of any length are
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm._common import table
-from tessella.llm._spans import clear_of, count_of, located, matches, tagged, written
+from tessella.llm._spans import count_of, located, matches, tagged, written
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]++"
@@ -41,19 +41,21 @@ ALLOWED = [
 ]
 
 
-def window_entropy(chars: Column, width: int, bits: Column) -> Column:
-    """Struct(s, first, last): starts of the first and last window of a piece with at least these bits a character; null
-    if none. chars: a lambda's variable or a field of one, as other expressions would be worked out anew in each step."""
+RUNS = "array<struct<first: int, last: int>>"
+
+
+def window_runs(chars: Column, width: int, bits: Column) -> Column:
+    """Structs(first, last): starts of the first and last window of each run of windows of a piece with at least these bits a
+    character. chars: a lambda's variable or a field of one, as other expressions would be worked out anew in each step."""
     table_of = F.array(*[F.lit(k * log2(k) if k else 0.0) for k in range(width + 1)])
     weight = lambda k: F.element_at(table_of, k + 1)
     counted = lambda part, c: F.size(F.filter(part, lambda y: y == c))
     head = F.slice(chars, 1, width)
     start = F.aggregate(F.array_distinct(head), F.lit(0.0), lambda s, c: s + weight(counted(head, c)))
     hot = lambda s: (F.lit(log2(width)) - s / width) >= bits - 1e-9
-    none = F.lit(None).cast("int")
-    zero = F.struct(
-        start.alias("s"), F.when(hot(start), 0).otherwise(none).alias("first"), F.when(hot(start), 0).otherwise(none).alias("last")
-    )
+    run = lambda first, last: F.array(F.struct(first.cast("int").alias("first"), last.cast("int").alias("last")))
+    # open: where the run that goes on began, or -1.
+    zero = F.struct(start.alias("s"), F.when(hot(start), 0).otherwise(-1).alias("open"), F.array().cast(RUNS).alias("runs"))
 
     def slide(acc: Column, i: Column) -> Column:
         # Window i leaves chars[i - 1] (from 0) and takes in chars[i + width - 1]; what both share is `kept`.
@@ -61,50 +63,82 @@ def window_entropy(chars: Column, width: int, bits: Column) -> Column:
         gone, come = F.element_at(chars, i), F.element_at(chars, i + width)
         k_gone, k_come = counted(kept, gone), counted(kept, come)
         s = acc["s"] + weight(k_gone) - weight(k_gone + 1) + weight(k_come + 1) - weight(k_come)
+        going = acc["open"] >= 0
         return F.struct(
-            s.alias("s"), F.when(acc["first"].isNull() & hot(s), i).otherwise(acc["first"]).alias("first"),
-            F.when(hot(s), i).otherwise(acc["last"]).alias("last"),
+            s.alias("s"), F.when(hot(s), F.when(going, acc["open"]).otherwise(i)).otherwise(-1).alias("open"),
+            F.when(going & ~hot(s), F.concat(acc["runs"], run(acc["open"], i - 1))).otherwise(acc["runs"]).alias("runs"),
         )
 
     steps = F.when(F.size(chars) > width, F.sequence(F.lit(1), F.size(chars) - width)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, zero, slide)
+    last = F.size(chars) - width
+    return F.aggregate(steps, zero, slide, lambda acc: F.when(acc["open"] >= 0, F.concat(acc["runs"], run(acc["open"], last))).otherwise(acc["runs"]))
 
 
-def candidate_entropy(value: Column, width: int, bits: Column) -> Column:
-    """Struct(first, last) over a whole candidate, which is cut into pieces that overlap by a window less one character:
-    so every window is in one piece, and the work on a long candidate stays in proportion to its length."""
+def candidate_runs(value: Column, width: int, bits: Column) -> Column:
+    """Structs(first, last) over a whole candidate, which is cut into pieces that overlap by a window less one character:
+    so every window is in one piece, and the work on a long candidate stays in proportion to its length. A run that goes
+    on in the next piece is one."""
     step = PIECE - width + 1
     starts = F.sequence(F.lit(0), F.floor((F.length(value) - width) / step).cast("int"))
     pieces = F.transform(
         starts, lambda k: F.struct((k * step).alias("at"), F.split(F.substring(value, k * step + 1, F.lit(PIECE)), "").alias("chars"), bits.alias("bits"))
     )
-    judged = F.transform(pieces, lambda p: F.struct(p["at"].alias("at"), window_entropy(p["chars"], width, p["bits"]).alias("w")))
+    judged = F.transform(pieces, lambda p: F.struct(p["at"].alias("at"), window_runs(p["chars"], width, p["bits"]).alias("runs")))
+    placed = F.transform(
+        judged, lambda p: F.transform(p["runs"], lambda r: F.struct((p["at"] + r["first"]).alias("first"), (p["at"] + r["last"]).alias("last")))
+    )
+
+    def join(acc: Column, new: Column) -> Column:
+        end, start = F.get(acc, F.size(acc) - 1), F.get(new, F.lit(0))
+        one = F.array(F.struct(end["first"].alias("first"), start["last"].alias("last")))
+        goes_on = (F.size(acc) > 0) & (F.size(new) > 0) & (end["last"] + 1 == start["first"])
+        whole = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), one, F.slice(new, F.lit(2), F.size(new)))
+        return F.when(goes_on, whole).otherwise(F.concat(acc, new))
+
+    return F.aggregate(placed, F.array().cast(RUNS), join)
+
+
+def candidate_entropy(value: Column, width: int, bits: Column) -> Column:
+    """Struct(first, last) over all runs of a candidate; null if none."""
     none = F.lit(None).cast("int")
     return F.aggregate(
-        judged, F.struct(none.alias("first"), none.alias("last")),
-        lambda acc, p: F.struct(
-            F.least(acc["first"], p["at"] + p["w"]["first"]).alias("first"), F.greatest(acc["last"], p["at"] + p["w"]["last"]).alias("last")
-        ),
+        candidate_runs(value, width, bits), F.struct(none.alias("first"), none.alias("last")),
+        lambda acc, r: F.struct(F.least(acc["first"], r["first"]).alias("first"), F.greatest(acc["last"], r["last"]).alias("last")),
     )
 
 
-def entropy_spans(found: Column, width: int = WINDOW, allowed: list[str] = ALLOWED) -> Column:
-    """The random parts of candidates, as spans of kind `entropy`."""
-    known = lambda v: F.coalesce(*[F.when(v.rlike(a), F.lit(True)) for a in allowed], F.lit(False))
+def entropy_spans(found: Column, base: Column, width: int = WINDOW, allowed: list[str] = ALLOWED) -> Column:
+    """The random parts of candidates, as spans of kind `entropy`: one for each run of windows that are clear of the base
+    spans. Patterns that begin with ^ allow a candidate, others the span that they are found in."""
+    known = lambda v, some: F.coalesce(*[F.when(v.rlike(a), F.lit(True)) for a in some], F.lit(False))
+    of_all, of_span = [a for a in allowed if a[0] == "^"], [a for a in allowed if a[0] != "^"]
 
     def judged(x: Column) -> Column:
         bits = F.when(x["value"].rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), HEX_BITS).otherwise(MIXED_BITS)
-        return F.struct(x.alias("span"), candidate_entropy(x["value"], width, bits).alias("at"))
-
-    some = F.filter(F.transform(F.filter(found, lambda x: ~known(x["value"])), judged), lambda y: y["at"]["first"].isNotNull())
-    return F.transform(
-        some,
-        lambda y: F.struct(
-            (y["span"]["start"] + y["at"]["first"]).alias("start"), F.lit(4).alias("place"), F.lit("entropy").alias("kind"),
-            (y["span"]["start"] + y["at"]["last"] + width).alias("end"), y["span"]["value"].alias("value"),
-            y["span"]["before"].alias("before"), y["span"]["after"].alias("after"),
-        ),
-    )
+        return F.struct(x.alias("span"), candidate_runs(x["value"], width, bits).alias("runs"))
+
+    def clear(acc: Column, b: Column) -> Column:
+        # Windows that end before a base span, and those that start after it.
+        parts = lambda r: F.array(
+            F.struct(r["first"].alias("first"), F.least(r["last"], b["start"] - width).alias("last")),
+            F.struct(F.greatest(r["first"], b["end"]).alias("first"), r["last"].alias("last")),
+        )
+        return F.filter(F.flatten(F.transform(acc, parts)), lambda r: r["first"] <= r["last"])
+
+    def spans(y: Column) -> Column:
+        x = y["span"]
+        runs = F.transform(y["runs"], lambda r: F.struct((x["start"] + r["first"]).alias("first"), (x["start"] + r["last"]).alias("last")))
+        return F.transform(
+            F.aggregate(base, runs, clear),
+            lambda r: F.struct(
+                r["first"].alias("start"), F.lit(4).alias("place"), F.lit("entropy").alias("kind"), (r["last"] + width).alias("end"),
+                F.substring(x["value"], (r["first"] - x["start"] + 1).cast("int"), (r["last"] - r["first"] + width).cast("int")).alias("value"),
+                x["before"].alias("before"), x["after"].alias("after"),
+            ),
+        )
+
+    some = F.filter(F.transform(F.filter(found, lambda x: ~known(x["value"], of_all)), judged), lambda y: F.size(y["runs"]) > 0)
+    return F.filter(F.flatten(F.transform(some, spans)), lambda z: ~known(z["value"], of_span))
 
 
 def scan_secrets(docs: DataFrame, *, text: str = "text", window: int = WINDOW, allowed: list[str] = ALLOWED) -> DataFrame:
@@ -126,7 +160,7 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", window: int = WINDOW, a
             )
         ).alias("base"),
     )
-    more = clear_of(entropy_spans(F.col("candidates"), window, allowed), F.col("base"))
+    more = entropy_spans(F.col("candidates"), F.col("base"), window, allowed)
     return rows.select("row", "base", F.array_sort(F.concat(F.col("base"), more)).alias("spans"))
 
 
