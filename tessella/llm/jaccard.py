@@ -21,7 +21,7 @@ an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil, log
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -55,15 +55,24 @@ def runs_for(threshold: float, recall: float, branch: int = BRANCH) -> int:
 
     A pair survives a split if it shares one of its tokens and survives below; the worst depth is taken.
     """
+    return ceil(log(1 - recall) / log(missed_by_run(threshold, branch)))
+
+
+def missed_by_run(threshold: float, branch: int = BRANCH) -> float:
     missed = 0.0
     for _ in range(DEPTH):
         missed = (1 - threshold * (1 - missed)) ** branch
-    return ceil(log(1 - recall) / log(1 - threshold * (1 - missed)))
+    return 1 - threshold * (1 - missed)
 
 
-def slack(threshold: float) -> float:
-    """How far an estimate may fall below the threshold: four standard deviations."""
-    return 4 * (threshold * (1 - threshold) / TOKENS) ** 0.5
+def slack(threshold: float, recall: float = RECALL) -> float:
+    """How far an estimate may fall below the threshold. All runs use one sketch, so it has what the paths leave of
+    1 - recall: the exact tail of the binomial count of tokens that agree, one byte in 256 of them by chance."""
+    left, p = 1 - recall - missed_by_run(threshold) ** runs_for(threshold, recall), threshold + (1 - threshold) / 256
+    tail, k = 0.0, 0
+    while k < TOKENS and (tail := tail + comb(TOKENS, k) * p**k * (1 - p) ** (TOKENS - k)) <= left:
+        k += 1
+    return threshold - k / TOKENS + 1e-9
 
 
 def shingles(raw: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -292,7 +301,7 @@ def near_duplicates(
         F.first("roots").alias("roots"), F.first("sig").alias("sig"),
     )
     sets = stored(sets, "sets")
-    found = components(candidates(sets, threshold - slack(threshold)))
+    found = components(candidates(sets, threshold - slack(threshold, recall)))
     members = found.select(F.col("v").alias("ka"), "root").unionByName(found.select(F.col("root").alias("ka"), "root").distinct())
     members = stored(sets.select("ka", "kb", "t", "n").join(members, "ka"), "members")
     groups = members.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
