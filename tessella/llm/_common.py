@@ -51,11 +51,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one is set in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(f"/tmp/spark-tessella-{uuid.uuid4().hex}")
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = found.get()
@@ -81,3 +83,25 @@ def row_key(*columns: Column) -> Column:
     """A 128-bit key of the columns' values; nulls count as a value of their own."""
     parts = [x for c in columns for x in (c.isNull(), c)]
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(7), *parts).alias("b"))
+
+
+#: A key is hot if more than one in HOT_SHARE of the rows have it, so at most HOT_SHARE keys are; their rows go to SALTS tasks.
+HOT_SHARE, SALTS = 256, 64
+
+
+def hot_keys(counts: DataFrame, on: list[str], n: str, total: int, share: int = HOT_SHARE) -> DataFrame:
+    """Of (on, n), the keys with more than 1 / share of `total` rows. They are `share` at most, which bounds a broadcast."""
+    return counts.filter(F.col(n) > max(total / share, 1000)).select(*on)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """left joined to right, with the left rows of hot keys dealt out to `salts` tasks and the right ones copied to each.
+
+    hot: keys, of a bounded number, as it is broadcast. Keys that are null stay null on the left. how: inner or left.
+    """
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    spread = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0)
+    own = left.join(marked, on, "left").withColumn("_salt", spread).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    other = right.join(marked, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return own.join(other, [*on, "_salt"], how).drop("_salt")
