@@ -1,167 +1,171 @@
 """Secret scans, with built-in functions only.
 
-Base kinds are patterns (assignments, access keys, long hex). The method then takes candidate strings, one class of
-characters at a time, and slides a window over each: the Shannon entropy of the window is kept up to date from the
-counts of the character that enters and the one that leaves. Each run of windows that reach the class's threshold and are
-clear of base spans is a secret, from the first one's start to the last one's end, unless the allow-list knows it.
-The work is a projection: no shuffle and no state beyond a row.
+Base kinds are patterns (assignments, access keys, long hex). The method then takes candidate strings in the text between
+base spans, and in each the runs of every character class (hex, base32, letters, alphanumeric, base64). Over a run slides a
+window, whose Shannon entropy is kept by incremental counts: a table with one place for each character of the class, of
+which a step changes two, the one that leaves and the one that enters. Windows that reach the class's bits are random; what
+they cover, over all classes, is a secret, unless the allow-list knows it. The work is a projection: no shuffle and no state
+beyond a row.
 
 Defined results: null and empty texts have no spans; repeated rows get the same result each; texts of any length are
-scanned whole; other columns are passed through (operator) or left out (query); an empty table gives an empty table.
+scanned whole, in time that follows their length; other columns are passed through (operator) or left out (query); an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
 from math import log2
+from string import ascii_letters, ascii_lowercase, ascii_uppercase, digits
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm._common import table
-from tessella.llm._spans import count_of, located, matches, tagged, written
+from tessella.llm._spans import RANGES, SPAN, TAGGED, between, count_of, cut, let, located, matches, merged, tagged, written
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]++"
 #: Runs of 32 hex digits and more; shorter runs fail as a whole, so none is retried inside.
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-#: Characters in the sliding window.
-WINDOW = 20
-#: Characters of a candidate that are slid over in one go.
-PIECE = 256
-#: Candidates: runs of a window's length and more with a letter and a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
-#: Bits a character at which a window is taken for random, of a class of at most log2(20) = 4.32 here.
-HEX_BITS, MIXED_BITS = 3.0, 3.75
-#: Strings that look random and are none: samples, UUIDs, alphabets, checksums that say so.
+#: Candidates: runs of the characters of all classes.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+#: Window positions that are worked through in one go.
+PIECE = 192
+
+
+@dataclass(frozen=True)
+class CharClass:
+    """Runs of an alphabet's characters, at least a window long, that hold one of each of `needs`; `bits` a character make
+    a window random."""
+
+    alphabet: str
+    run: str
+    window: int
+    bits: float
+    needs: tuple[str, ...] = ()
+
+
+#: Bits are set so that words of prose, also joined ones, stay below. Of random strings of 30 characters all but a few have a
+#: window above; of those of one case's letters, which are nearest to words, about 87 in 100.
+CLASSES = [
+    CharClass(digits + "abcdef", r"(?<![0-9a-f])[0-9a-f]{20,}+", 20, 3.0, ("[0-9]", "[a-f]")),
+    CharClass(digits + "ABCDEF", r"(?<![0-9A-F])[0-9A-F]{20,}+", 20, 3.0, ("[0-9]", "[A-F]")),
+    CharClass(ascii_uppercase + "234567", r"(?<![A-Z2-7])[A-Z2-7]{20,}+", 20, 3.5, ("[2-7]", "[A-Z]")),
+    CharClass(ascii_lowercase, r"(?<![a-z])[a-z]{20,}+", 20, 3.65),
+    CharClass(ascii_uppercase, r"(?<![A-Z])[A-Z]{20,}+", 20, 3.65),
+    CharClass(ascii_letters, r"(?<![A-Za-z])[A-Za-z]{20,}+", 20, 4.0, ("[a-z]", "[A-Z]")),
+    CharClass(ascii_letters + digits, r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+", 20, 3.75, ("[0-9]", "[A-Za-z]")),
+    CharClass(ascii_letters + digits + "+/_=-", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", 20, 3.9, ("[0-9]", "[A-Za-z]")),
+    # Strings under 20 characters stand by themselves and hold all three kinds.
+    CharClass(ascii_letters + digits, r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9]{16,19}+(?![A-Za-z0-9+/_=-])", 16, 3.6, ("[0-9]", "[a-z]", "[A-Z]")),
+]
+#: Strings that look random and are none: samples, UUIDs, alphabets, checksums that say so. Patterns that begin with ^ are
+#: for whole candidates, others for spans.
 ALLOWED = [
     r"(?i)example|sample|dummy|placeholder",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"(?i)0123456789|abcdefghij",
     r"^(?i:sha(1|256|384|512))[-_=]",
 ]
-
-
-RUNS = "array<struct<first: int, last: int>>"
-
-
-def window_runs(chars: Column, width: int, bits: Column) -> Column:
-    """Structs(first, last): starts of the first and last window of each run of windows of a piece with at least these bits a
-    character. chars: a lambda's variable or a field of one, as other expressions would be worked out anew in each step."""
-    table_of = F.array(*[F.lit(k * log2(k) if k else 0.0) for k in range(width + 1)])
-    weight = lambda k: F.element_at(table_of, k + 1)
-    counted = lambda part, c: F.size(F.filter(part, lambda y: y == c))
-    head = F.slice(chars, 1, width)
-    start = F.aggregate(F.array_distinct(head), F.lit(0.0), lambda s, c: s + weight(counted(head, c)))
-    hot = lambda s: (F.lit(log2(width)) - s / width) >= bits - 1e-9
-    run = lambda first, last: F.array(F.struct(first.cast("int").alias("first"), last.cast("int").alias("last")))
-    # open: where the run that goes on began, or -1.
-    zero = F.struct(start.alias("s"), F.when(hot(start), 0).otherwise(-1).alias("open"), F.array().cast(RUNS).alias("runs"))
-
-    def slide(acc: Column, i: Column) -> Column:
-        # Window i leaves chars[i - 1] (from 0) and takes in chars[i + width - 1]; what both share is `kept`.
-        kept = F.slice(chars, i + 1, F.lit(width - 1))
-        gone, come = F.element_at(chars, i), F.element_at(chars, i + width)
-        k_gone, k_come = counted(kept, gone), counted(kept, come)
-        s = acc["s"] + weight(k_gone) - weight(k_gone + 1) + weight(k_come + 1) - weight(k_come)
-        going = acc["open"] >= 0
-        return F.struct(
-            s.alias("s"), F.when(hot(s), F.when(going, acc["open"]).otherwise(i)).otherwise(-1).alias("open"),
-            F.when(going & ~hot(s), F.concat(acc["runs"], run(acc["open"], i - 1))).otherwise(acc["runs"]).alias("runs"),
+ENTROPY_PLACE = 4
+
+
+def marked_windows(text: Column, weights: Column, c: CharClass) -> Column:
+    """A digit for each window of a piece of a run: 1 where it is random. text: a field of a lambda's variable.
+
+    A count is a character of the table `counts`, at the place that the counted character has in the alphabet.
+    """
+    w = c.window
+    place = lambda ch: F.position(ch, F.lit(c.alphabet))
+    count = lambda state, ch: F.ascii(F.substring(state["counts"], place(ch), F.lit(1))) - 48
+    put = lambda state, ch, k: F.overlay(state["counts"], F.char(k + 48), place(ch), F.lit(1))
+    weight = lambda k: F.element_at(weights, k + 1)
+
+    def changed(state: Column, ch: Column, by: int) -> Column:
+        """The state after a character's count, and so the sum of k log2 k, changed by one."""
+        return let(count(state, ch), lambda k: F.struct(
+            put(state, ch, k + by).alias("counts"), (state["sum"] - weight(k) + weight(k + by)).alias("sum"), state["hot"].alias("hot")
+        ))
+
+    def judged(state: Column) -> Column:
+        random = F.lit(log2(w)) - state["sum"] / w >= c.bits - 1e-9
+        return F.struct(state["counts"].alias("counts"), state["sum"].alias("sum"), F.concat(state["hot"], F.when(random, "1").otherwise("0")).alias("hot"))
+
+    chars = lambda from_, n: F.split(F.substring(text, from_, n), "")
+    empty = F.struct(F.lit("0" * len(c.alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit("").alias("hot"))
+    first = F.aggregate(chars(F.lit(1), F.lit(w)), empty, lambda state, ch: changed(state, ch, 1), judged)
+    steps = F.arrays_zip(chars(F.lit(1), F.length(text) - w).alias("gone"), chars(F.lit(w + 1), F.length(text)).alias("come"))
+    steps = F.when(F.length(text) > w, steps).otherwise(F.array().cast("array<struct<gone: string, come: string>>"))
+    slide = lambda state, ch: let(changed(state, ch["gone"], -1), lambda s: let(changed(s, ch["come"], 1), judged))
+    return F.aggregate(steps, first, slide, lambda state: state["hot"])
+
+
+def random_ranges(rows: DataFrame) -> DataFrame:
+    """rows with `random`: ranges of the text that random windows of any class cover. rows has `candidates`, placed in the text.
+
+    A run is cut into pieces that overlap by a window less one character: every window is in one piece, and no piece's
+    state grows with the run. Each step is a column of its own, so that no expression is nested too deep to be resolved.
+    """
+    kept = rows.columns
+    for i, c in enumerate(CLASSES):
+        w = c.window
+        placed = lambda at, r: F.struct((at + r["start"]).alias("start"), r["value"].alias("value"))
+        holds = lambda r, c=c: reduce(lambda a, b: a & b, [r["value"].rlike(x) for x in c.needs], F.lit(True))
+        own = F.transform("candidates", lambda x: F.transform(located(x["value"], matches(x["value"], c.run), c.run), lambda r: placed(x["start"], r)))
+        rows = rows.withColumn("runs", F.flatten(own)).withColumn("runs", F.filter("runs", lambda r: holds(r)))
+
+        def pieces(r: Column, w: int = w) -> Column:
+            starts = F.sequence(F.lit(0), F.floor((F.length(r["value"]) - w) / PIECE).cast("int"))
+            return F.transform(starts, lambda k: F.struct((r["start"] + k * PIECE).alias("start"), F.substring(r["value"], k * PIECE + 1, F.lit(PIECE + w - 1)).alias("text")))
+
+        weights = F.array(*[F.lit(k * log2(k) if k else 0.0) for k in range(w + 1)])
+        rows = rows.withColumn("pieces", F.flatten(F.transform("runs", lambda r: pieces(r)))).drop("runs")
+        hot = let(weights, lambda v: F.transform("pieces", lambda p: F.struct(p["start"].alias("start"), marked_windows(p["text"], v, c).alias("hot"))))
+        rows = rows.withColumn("marked", F.when(F.size("pieces") > 0, hot)).drop("pieces")
+        ranges = lambda m: F.transform(
+            located(m["hot"], matches(m["hot"], "1+"), "1+"), lambda h: F.struct((m["start"] + h["start"]).alias("start"), (m["start"] + h["end"] + (w - 1)).alias("end"))
         )
-
-    steps = F.when(F.size(chars) > width, F.sequence(F.lit(1), F.size(chars) - width)).otherwise(F.array().cast("array<int>"))
-    last = F.size(chars) - width
-    return F.aggregate(steps, zero, slide, lambda acc: F.when(acc["open"] >= 0, F.concat(acc["runs"], run(acc["open"], last))).otherwise(acc["runs"]))
-
-
-def candidate_runs(value: Column, width: int, bits: Column) -> Column:
-    """Structs(first, last) over a whole candidate, which is cut into pieces that overlap by a window less one character:
-    so every window is in one piece, and the work on a long candidate stays in proportion to its length. A run that goes
-    on in the next piece is one."""
-    step = PIECE - width + 1
-    starts = F.sequence(F.lit(0), F.floor((F.length(value) - width) / step).cast("int"))
-    pieces = F.transform(
-        starts, lambda k: F.struct((k * step).alias("at"), F.split(F.substring(value, k * step + 1, F.lit(PIECE)), "").alias("chars"), bits.alias("bits"))
-    )
-    judged = F.transform(pieces, lambda p: F.struct(p["at"].alias("at"), window_runs(p["chars"], width, p["bits"]).alias("runs")))
-    placed = F.transform(
-        judged, lambda p: F.transform(p["runs"], lambda r: F.struct((p["at"] + r["first"]).alias("first"), (p["at"] + r["last"]).alias("last")))
-    )
-
-    def join(acc: Column, new: Column) -> Column:
-        end, start = F.get(acc, F.size(acc) - 1), F.get(new, F.lit(0))
-        one = F.array(F.struct(end["first"].alias("first"), start["last"].alias("last")))
-        goes_on = (F.size(acc) > 0) & (F.size(new) > 0) & (end["last"] + 1 == start["first"])
-        whole = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), one, F.slice(new, F.lit(2), F.size(new)))
-        return F.when(goes_on, whole).otherwise(F.concat(acc, new))
-
-    return F.aggregate(placed, F.array().cast(RUNS), join)
-
-
-def candidate_entropy(value: Column, width: int, bits: Column) -> Column:
-    """Struct(first, last) over all runs of a candidate; null if none."""
-    none = F.lit(None).cast("int")
-    return F.aggregate(
-        candidate_runs(value, width, bits), F.struct(none.alias("first"), none.alias("last")),
-        lambda acc, r: F.struct(F.least(acc["first"], r["first"]).alias("first"), F.greatest(acc["last"], r["last"]).alias("last")),
-    )
+        rows = rows.withColumn(f"ranges{i}", F.coalesce(F.flatten(F.transform("marked", lambda m: ranges(m))), F.array().cast(RANGES))).drop("marked")
+    rows = rows.withColumn("random", F.concat(*[F.col(f"ranges{i}") for i in range(len(CLASSES))]))
+    return rows.select(*kept, merged(F.col("random")).alias("random"))
 
 
-def entropy_spans(found: Column, base: Column, width: int = WINDOW, allowed: list[str] = ALLOWED) -> Column:
-    """The random parts of candidates, as spans of kind `entropy`: one for each run of windows that are clear of the base
-    spans. Patterns that begin with ^ allow a candidate, others the span that they are found in."""
-    known = lambda v, some: F.coalesce(*[F.when(v.rlike(a), F.lit(True)) for a in some], F.lit(False))
+def entropy_spans(rows: DataFrame, allowed: list[str]) -> DataFrame:
+    """(row, base, more): the random parts of the text `x` between base spans, as tagged spans of kind `entropy`."""
+    known = lambda v, some: reduce(lambda a, b: a | b, [v.rlike(a) for a in some], F.lit(False))
     of_all, of_span = [a for a in allowed if a[0] == "^"], [a for a in allowed if a[0] != "^"]
-
-    def judged(x: Column) -> Column:
-        bits = F.when(x["value"].rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), HEX_BITS).otherwise(MIXED_BITS)
-        return F.struct(x.alias("span"), candidate_runs(x["value"], width, bits).alias("runs"))
-
-    def clear(acc: Column, b: Column) -> Column:
-        # Windows that end before a base span, and those that start after it.
-        parts = lambda r: F.array(
-            F.struct(r["first"].alias("first"), F.least(r["last"], b["start"] - width).alias("last")),
-            F.struct(F.greatest(r["first"], b["end"]).alias("first"), r["last"].alias("last")),
-        )
-        return F.filter(F.flatten(F.transform(acc, parts)), lambda r: r["first"] <= r["last"])
-
-    def spans(y: Column) -> Column:
-        x = y["span"]
-        runs = F.transform(y["runs"], lambda r: F.struct((x["start"] + r["first"]).alias("first"), (x["start"] + r["last"]).alias("last")))
-        return F.transform(
-            F.aggregate(base, runs, clear),
-            lambda r: F.struct(
-                r["first"].alias("start"), F.lit(4).alias("place"), F.lit("entropy").alias("kind"), (r["last"] + width).alias("end"),
-                F.substring(x["value"], (r["first"] - x["start"] + 1).cast("int"), (r["last"] - r["first"] + width).cast("int")).alias("value"),
-                x["before"].alias("before"), x["after"].alias("after"),
-            ),
-        )
-
-    some = F.filter(F.transform(F.filter(found, lambda x: ~known(x["value"], of_all)), judged), lambda y: F.size(y["runs"]) > 0)
-    return F.filter(F.flatten(F.transform(some, spans)), lambda z: ~known(z["value"], of_span))
-
-
-def scan_secrets(docs: DataFrame, *, text: str = "text", window: int = WINDOW, allowed: list[str] = ALLOWED) -> DataFrame:
-    """docs' columns in a struct `row`, and `base` and `spans`: arrays of struct(start, place, kind, end, value, ...)."""
+    x, none = F.col("x"), F.array().cast(SPAN)
+    whole = F.array(F.struct(x.alias("p"), F.struct(F.lit(0).cast("bigint").alias("start"), F.length(x).cast("bigint").alias("end")).alias("g")))
+    cut_out = let(between(merged(F.col("base")), F.length(x)), lambda g: F.arrays_zip(cut(x, g).alias("p"), g.alias("g")))
+    rows = rows.withColumn("gaps", F.when(F.size("base") > 0, cut_out).otherwise(whole))
+    moved = lambda at, s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["value"].alias("value"))
+    found = F.flatten(F.transform("gaps", lambda z: F.transform(located(z["p"], matches(z["p"], CANDIDATE), CANDIDATE), lambda s: moved(z["g"]["start"], s))))
+    rows = rows.withColumn("candidates", F.filter(found, lambda s: ~known(s["value"], of_all))).drop("gaps")
+    rows = random_ranges(rows)
+    spans = F.transform(F.arrays_zip(F.col("random").alias("r"), cut(x, F.col("random")).alias("v")), lambda z: F.struct(z["r"]["start"].alias("start"), z["r"]["end"].alias("end"), z["v"].alias("value")))
+    rows = rows.withColumn("found", F.when(F.size("random") > 0, spans).otherwise(none))
+    keep = lambda v: ~known(v, of_span)
+    return rows.select("row", "base", tagged(F.col("found"), "entropy", ENTROPY_PLACE, keep).alias("more"))
+
+
+def scan_secrets(docs: DataFrame, *, text: str = "text", allowed: list[str] = ALLOWED) -> DataFrame:
+    """docs' columns in a struct `row`, and `base` and `spans`: arrays of struct(start, place, kind, end, value)."""
     x, none = F.col("x"), F.array().cast("array<string>")
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("x"))
     rows = rows.select(
         "row", "x", matches(x, ASSIGN).alias("m_assign"),
-        F.when(x.contains("AKIA"), matches(x, ACCESS)).otherwise(none).alias("m_access"),
-        matches(x, HEX).alias("m_hex"), matches(x, CANDIDATE).alias("m_any"),
-    )
-    rows = rows.select(
-        "row", located(x, F.col("m_any"), CANDIDATE).alias("candidates"),
-        F.array_sort(
-            F.concat(
-                tagged(located(x, F.col("m_assign"), ASSIGN), "assign", 1, lambda v: F.length(F.regexp_extract(v, ASSIGN, 1)) >= 8),
-                tagged(located(x, F.col("m_access"), ACCESS), "access", 2, lambda v: F.length(v) >= 16),
-                tagged(located(x, F.col("m_hex"), HEX), "hex", 3, lambda v: F.length(v) >= 32),
-            )
-        ).alias("base"),
+        F.when(x.contains("AKIA"), matches(x, ACCESS)).otherwise(none).alias("m_access"), matches(x, HEX).alias("m_hex"),
     )
-    more = entropy_spans(F.col("candidates"), F.col("base"), window, allowed)
-    return rows.select("row", "base", F.array_sort(F.concat(F.col("base"), more)).alias("spans"))
+    kinds = [
+        tagged(located(x, F.col("m_assign"), ASSIGN), "assign", 1, lambda v: F.length(F.regexp_extract(v, ASSIGN, 1)) >= 8),
+        tagged(located(x, F.col("m_access"), ACCESS), "access", 2, lambda v: F.length(v) >= 16),
+        tagged(located(x, F.col("m_hex"), HEX), "hex", 3, lambda v: F.length(v) >= 32),
+    ]
+    found = F.size("m_assign") + F.size("m_access") + F.size("m_hex") > 0
+    rows = rows.select("row", "x", F.when(found, F.array_sort(F.concat(*kinds))).otherwise(F.array().cast(TAGGED)).alias("base"))
+    return entropy_spans(rows, allowed).select("row", "base", F.array_sort(F.concat("base", "more")).alias("spans"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

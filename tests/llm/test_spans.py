@@ -77,24 +77,3 @@ def test_disclosing_terms(spark):
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
-
-
-def test_entropy_windows_against_brute_force(spark):
-    import random
-    from collections import Counter
-    from math import log2
-
-    from pyspark.sql import functions as F
-
-    from tessella.llm.secrets import candidate_entropy
-
-    rng = random.Random(6)
-    texts = ["ab1" * 200, "".join(rng.choice("abc0123XYZ/+") for _ in range(700))]
-    texts += ["a1" * n + "".join(rng.sample("bcdefghijklmnopqrstuvwxyzABCDEFGH23456789", 24)) + "z" * n for n in (0, 5, 100, 118, 119, 240, 300)] + ["a" * 20]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    # The value is a lambda's variable, as in the operator.
-    got = df.select("i", F.transform(F.array("t"), lambda t: candidate_entropy(t, 20, F.lit(3.75)))[0].alias("e")).collect()
-    for r in got:
-        t = texts[r.i]
-        hot = [k for k in range(len(t) - 19) if -sum(n / 20 * log2(n / 20) for n in Counter(t[k : k + 20]).values()) >= 3.75 - 1e-9]
-        assert (r.e.first, r.e.last) == ((hot[0], hot[-1]) if hot else (None, None))
