@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm._common import row_key, stored, table
+from tessella.llm._spans import let
 
 #: Sites from which a line is boilerplate.
 MIN_SITES = 5
@@ -78,10 +79,10 @@ def remove_boilerplate(
         F.col("h.a").alias("ha"), F.col("h.b").alias("hb"), "site", "doc.d", "doc.ka", "doc.kb", "pos"
     )
     lines = stored(lines, "lines")
-    common = stored(
-        lines.join(boilerplate(lines, min_sites), ["ha", "hb"], "left_semi").select("ha", "hb", F.struct("d", "ka", "kb", "pos").alias("at")),
-        "common-lines",
-    )
+    known = stored(boilerplate(lines, min_sites), "boilerplate")
+    if known.count() <= BROADCAST_LINES:  # a line that very many documents share is then in no one task's hands
+        known = F.broadcast(known)
+    common = stored(lines.join(known, ["ha", "hb"], "left_semi").select("ha", "hb", F.struct("d", "ka", "kb", "pos").alias("at")), "common-lines")
     first = stored(common.groupBy("ha", "hb").agg(F.min("at").alias("first")), "first-lines")
     if first.count() <= BROADCAST_LINES:
         first = F.broadcast(first)
@@ -89,7 +90,9 @@ def remove_boilerplate(
         common.join(first, ["ha", "hb"]).filter(~F.col("at").eqNullSafe(F.col("first")))
         .groupBy(F.struct(F.col("at.ka").alias("a"), F.col("at.kb").alias("b")).alias("key")).agg(F.collect_set("at.pos").alias("gone"))
     )
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    # Positions that stay, by a hash of those that go: the work follows the number of lines.
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone"))
+    kept = let(split, lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n"))
     return rows.join(lost, "key", "left").select(
         "row", F.when(F.col("gone").isNull(), t).otherwise(kept).alias("clean"),
         F.when(t.isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),

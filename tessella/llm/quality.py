@@ -28,6 +28,8 @@ from tessella.llm._common import stored, table, values, words_of
 
 #: Most labelled rows that a fit takes, and their partitions.
 MAX_ROWS, FIT_PARTITIONS = 200_000, 16
+#: Labelled ids that may be broadcast (12 bytes each); with a larger max_rows they are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 #: Random features, ridge penalty for each row, and the seed of the features.
 FEATURES, PENALTY, SEED = 384, 1e-4, 11
 #: Buckets of ridge scores for calibration; scores run from about -0.5 to 1.5.
@@ -137,7 +139,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(x, y, kept): statistics, label, and whether the row is kept for calibration; at most about max_rows."""
+    """(x, y, kept): statistics, label, and whether the row is kept for calibration, of at most about max_rows ids."""
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (remainder(F.col("doc_id")) != 1))
         .groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).filter("y = z").select("doc_id", "y")
@@ -146,8 +148,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     if n > max_rows:
         known = known.filter(order < int((1 << 30) * max_rows / n))
-    own = docs.filter(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 1)).select("doc_id", "text")
-    rows = measured(own).select(F.col("row.doc_id").alias("doc_id"), "x").join(known, "doc_id")
+    # max_rows bounds what is broadcast; only rows with a label are measured, whose texts no shuffle then moves.
+    known = known.filter(F.col("doc_id").isNotNull())
+    known = F.broadcast(known) if max_rows <= BROADCAST_ROWS else known
+    own = docs.select("doc_id", "text").join(known, "doc_id")
+    rows = measured(own).select("row.doc_id", "row.y", "x")
     return rows.select("x", F.col("y").cast("double").alias("y"), (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0).alias("kept"))
 
 
@@ -169,7 +174,7 @@ def summed(rows: DataFrame, of) -> list[np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, features: int = FEATURES, seed: int = SEED) -> Model:
     """Learn from rows of labels whose remainder is not 1."""
-    rows = stored(training_rows(docs, labels, max_rows).coalesce(FIT_PARTITIONS), "training-rows")
+    rows = stored(training_rows(docs, labels, max_rows).repartition(FIT_PARTITIONS), "training-rows")
     basic = summed(rows, lambda x, y: [np.array([len(x), y.sum()]), x.sum(axis=0), (x * x).sum(axis=0)])
     if not basic:
         return Model()

@@ -6,7 +6,7 @@ a record that fails them is stepped over, and its payload is not decoded. Archiv
 its own; the member's length is in the gzip header's extra field (`sl`), so stepping over a record needs no inflating
 beyond its header. Members without that field are inflated to find their end. Payloads are decoded only if asked for.
 
-Writing takes rows of (page_id, url, payload, record_type, refers_to, payload_digest, payload_bytes): every task writes a
+Writing takes rows of (page_id, url, payload, record_type, refers_to, digest in hex, size): every task writes a
 file of its own under a name with a random part, then the commit lists the files that count, so that a task that is run
 again or lost leaves nothing that a reader sees.
 
@@ -34,7 +34,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessella.llm._common import shared_path, table
+from tessella.llm._common import hot_keys, salted_join, shared_path, stored, table
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, payload_digest string, payload_bytes long, page_id long, "
@@ -44,6 +44,8 @@ SCHEMA = (
 HEAD = 2048
 #: Records of one written or read batch, and bytes of payload in it.
 BATCH_ROWS, BATCH_BYTES = 2000, 8_000_000
+#: Repeated digests that may be broadcast (about 60 bytes each).
+BROADCAST_DIGESTS = 500_000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 FIELDS = {
     "record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI",
@@ -225,7 +227,7 @@ class WarcWriter(ds.DataSourceArrowWriter):
                     header = {
                         "WARC-Type": r["record_type"], "WARC-Record-ID": record_id(page), "WARC-Date": "1970-01-01T00:00:00Z",
                         "WARC-Target-URI": (r["url"] or "").replace("\r", "%0D").replace("\n", "%0A"),
-                        "WARC-Payload-Digest": f"sha1:{base32_digest(payload)}", "X-Payload-Length": str(len(payload)), "X-Page-Id": str(page),
+                        "WARC-Payload-Digest": f"sha1:{base64.b32encode(bytes.fromhex(r['digest'])).decode()}", "X-Payload-Length": str(r["size"]), "X-Page-Id": str(page),
                         "Content-Type": "application/http; msgtype=response",
                     }
                     if r["record_type"] == "revisit":
@@ -271,16 +273,24 @@ def register(spark: SparkSession) -> None:
 
 
 def archived(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
-    """Rows to write: which records are responses, and which revisit one with an equal payload of min_bytes or more."""
+    """Rows to write: which records are responses, and which revisit one with an equal payload of min_bytes or more.
+
+    Only digests that are repeated need a second look. Few enough are broadcast, so that payloads stay where they are; more
+    are joined by digest, with the rows of a digest that very many pages share dealt out to many tasks.
+    """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.length("payload")})
     first = rows.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    # Only what is repeated needs a second look.
-    rows = rows.join(first.filter("n > 1").select("digest", "first"), "digest", "left")
+    first = stored(first.filter("n > 1"), "repeated-digests")
+    counts = first.agg(F.count("*").alias("digests"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    if counts.digests <= BROADCAST_DIGESTS:
+        rows = rows.join(F.broadcast(first.select("digest", "first")), "digest", "left")
+    else:
+        rows = salted_join(rows, first.select("digest", "first"), ["digest"], hot_keys(first, ["digest"], "n", counts.rows), "left")
     again = (F.col("size") >= min_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select(
-        "page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("first")).alias("refers_to"),
+        "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), F.when(again, "revisit").otherwise("response").alias("record_type"),
+        F.when(again, F.col("first")).alias("refers_to"), "digest", "size",
     )
 
 

@@ -267,7 +267,11 @@ def test_warc(spark, tmp_path):
             assert r.record_type == "response" and bytes(r.payload) == raw and r.refers_to is None
     assert back[None].record_type == "response" and len(back) == 8
     some = warc.read_warc(spark, path, payload=False).filter("record_type = 'revisit' AND page_id IN (1, 3)")
-    assert {r.page_id for r in some.collect()} == {1, 3} and "PushedFilters" in some._jdf.queryExecution().toString() or True
+    assert {r.page_id for r in some.collect()} == {1, 3}
+    reader = warc.WarcReader(path, some.schema, False)
+    left = [*reader.pushFilters([warc.ds.EqualTo(("record_type",), "revisit"), warc.ds.In(("page_id",), (1, 3)), warc.ds.GreaterThan(("page_id",), 2)])]
+    assert [type(x) for x in left] == [warc.ds.GreaterThan] and reader.equal == [("record_type", {"revisit"}), ("page_id", {1, 3})]
+    assert reader.wanted({"record_type": "revisit", "page_id": 3}) and not reader.wanted({"record_type": "response", "page_id": 3})
     warc.write_warc(pages.limit(0), str(tmp_path / "none"))
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
     warc.write_warc(pages, str(tmp_path / "large"), min_bytes=1)
@@ -293,9 +297,9 @@ def test_nearest(spark):
     x = m.astype(float)
     cos = lambda a: (x * x[a]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((x[a] ** 2).sum()))
     want = {a: sorted((-s, i) for i, s in enumerate(cos(a)) if i != a)[:5] for a in range(0, 400, 50)}
-    for block in (10**6, 60):
+    for block, asked in ((10**6, 10**6), (2000, 60)):
         got = {}
-        for r in ann.nearest(v.drop("score").withColumn("score", F.lit(1)), q, block_values=block).collect():
+        for r in ann.nearest(v.drop("score").withColumn("score", F.lit(1)), q, block_values=block, query_values=asked).collect():
             got.setdefault(r.query_id, {})[r["rank"]] = (-r.score, r.vec_id)
         assert {*got} == {*want}
         for a in want:
@@ -303,3 +307,11 @@ def test_nearest(spark):
             assert np.allclose([got[a][k][0] for k in range(1, 6)], [s for s, _ in want[a]], atol=1e-12)
     few = ann.nearest(v.filter("vec_id < 3"), v.filter("vec_id = 0")).collect()
     assert len(few) == 2 and public_tokenizers.PATTERN
+    assert ann.nearest(v.limit(0), q).count() == 0 == ann.nearest(v, q.limit(0)).count()
+
+
+def test_nearest_of_tiny_and_huge_vectors(spark):
+    rows = [(0, [2.0**-700, 2.0**-699]), (1, [2.0**-600, 2.0**-599]), (2, [3e200, -1e200]), (3, [1.0, 0.0]), (4, [2.0**-900, 2.0**-899])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(v, v.filter("vec_id = 0"), k=4).collect()
+    assert [r.vec_id for r in got] == [1, 4, 3, 2] and [round(r.score, 6) for r in got] == [1.0, 1.0, 0.447214, 0.141421]
