@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Upper bounds (inclusive) of the camera facets and their names; beyond the last, the last name.
+# Upper bounds (inclusive) of the camera facets and their keys; beyond the last, the last key.
 CAMERA_BUCKETS = {
-    "iso": [(400, "to 400"), (1600, "to 1600"), (6400, "to 6400"), (None, "over 6400")],
-    "fnumber": [(2.8, "to 2.8"), (5.6, "to 5.6"), (11.0, "to 11"), (None, "over 11")],
-    "exposure_s": [(0.001, "to 1/1000"), (0.01, "to 1/100"), (0.1, "to 1/10"), (None, "over 1/10")],
-    "focal_mm": [(24.0, "to 24"), (70.0, "to 70"), (200.0, "to 200"), (None, "over 200")],
+    "focal_mm": [(19.5, "lt20"), (35.5, "20to35"), (70.5, "36to70"), (135.5, "71to135"), (None, "gt135")],
+    "iso": [(400, "le400"), (1600, "to1600"), (6400, "to6400"), (None, "gt6400")],
+    "exposure_s": [(1 / 1000 * 1.05, "fast"), (1 / 250 * 1.05, "action"), (1 / 60 * 1.05, "normal"), (0.99, "slow"), (None, "long")],
+    "fnumber": [(2.0, "wide"), (4.0, "mid"), (8.0, "small"), (None, "tiny")],
 }
 # Half-open ranges of clip lengths in seconds.
 DURATIONS = [("lt10", 0, 10), ("10to30", 10, 30), ("30to120", 30, 120), ("gt120", 120, None)]
@@ -125,7 +125,21 @@ def exif_iso(text: Column) -> Column:
 
 
 def safe_segment(name: Column) -> Column:
-    """A name that is safe as one folder: illegal and control characters go, dots and blanks at the ends too; at most 120."""
+    """One folder's name: runs of separators and colons become _, dots and blanks at the ends go, `export` if nothing is left;
+    null for . and .., which name other folders."""
+    cleaned = F.regexp_replace(F.regexp_replace(name, r"[\\/:]+", "_"), r"^[. ]+|[. ]+$", "")
+    return F.when(~name.isin(".", ".."), F.when(cleaned == "", "export").otherwise(cleaned))
+
+
+def safe_name(name: Column) -> Column:
+    """A nested export name, made safe part by part; `export` if empty, null if absolute or with a part that is empty or illegal."""
+    parts = F.transform(F.split(name, "/"), safe_segment)
+    fits = ~name.rlike(r"^[/\\]|//|/$") & ~F.exists(parts, lambda x: x.isNull())
+    return F.when(name == "", "export").when(fits, F.array_join(parts, "/"))
+
+
+def file_segment(name: Column) -> Column:
+    """A name that is safe as one file or folder: illegal and control characters go, dots and blanks at the ends too; at most 120."""
     cleaned = F.regexp_replace(F.regexp_replace(name, r'[\\/:*?"<>|\x00-\x1f]+', "_"), r"^[. ]+|[. ]+$", "")
     return F.when(cleaned == "", "_").otherwise(F.substring(cleaned, 1, 120))
 
@@ -163,7 +177,7 @@ def segment_file_name(stem_: Column, number: Column, start: Column, end: Column)
 
 def quick_hash(content: Column, size: Column, chunk: int = 65536) -> Column:
     """sha1 of the size and the first and last bytes of a file."""
-    tail = F.when(size > chunk, F.substring(content, -chunk, chunk)).otherwise(F.lit(b""))
+    tail = F.when(size > chunk, F.substring(content, (F.greatest(size - chunk, F.lit(chunk)) + 1).cast("int"), F.lit(chunk))).otherwise(F.lit(b""))
     return F.sha1(F.concat(size.cast("string").cast("binary"), F.substring(content, 1, chunk), tail))
 
 

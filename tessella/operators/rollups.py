@@ -46,6 +46,17 @@ def mark_counts(items: DataFrame) -> DataFrame:
     return items.agg(*[F.count_if(F.coalesce(p, F.lit(False))).alias(k) for k, p in named.items()])
 
 
+# The order in which sizes are listed; others come last.
+SHOT_SIZES = ["close", "medium", "wide", "unknown", "unscored"]
+
+
+def shot_sizes(items: DataFrame) -> DataFrame:
+    """(value, n, pos): items of each size, `unscored` where none was worked out; pos is the place in the fixed order."""
+    found = counts(items, F.coalesce("shot_size", F.lit("unscored")), "value")
+    at = F.array_position(F.array(*map(F.lit, SHOT_SIZES)), F.col("value")).cast("int")
+    return found.withColumn("pos", F.when(at > 0, at).otherwise(len(SHOT_SIZES) + 1))
+
+
 def counts(items: DataFrame, key: Column | str, name: str) -> DataFrame:
     key = F.col(key) if isinstance(key, str) else key
     return items.groupBy(key.alias(name)).agg(F.count("*").alias("n"))

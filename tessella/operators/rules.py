@@ -10,22 +10,24 @@ LONG_INTERVIEW_S, SECOND, AERIAL_GAP = 600.0, 0.15, 0.015
 
 def classified(items: DataFrame) -> DataFrame:
     """category, score and guess after the rules, in order: a clip of ten minutes with people or an interview among category
-    and guess is an interview; an item with a face is people, its scene kept as the guess (or the best scene if likely).
+    and guess is an interview, by category and guess, as likely as the likelier of the two; an item with a face is people,
+    its scene kept as the guess (or the best scene if likely).
 
-    items: duration, n_faces, category, score, guess, guess_score, scene and scene_p, the likeliest category that is no
-    person.
+    items: kind, duration, n_faces, category, score, guess, guess_score; people_p and interview_p, the probabilities of the
+    two; scene and scene_p, the likeliest category that is neither.
     """
-    talk = F.col("category").isin("people", "interview") | F.col("guess").isin("people", "interview")
-    long_ = F.coalesce((F.col("duration") >= LONG_INTERVIEW_S) & talk, F.lit(False))
-    faces = ~long_ & F.coalesce(F.col("n_faces") >= 1, F.lit(False))
-    was_scene = F.coalesce(~F.col("category").isin("people", "interview", "other"), F.lit(False))
+    talk = F.coalesce(F.col("category").isin("people", "interview"), F.lit(False)) | F.coalesce(F.col("guess").isin("people", "interview"), F.lit(False))
+    long_ = F.coalesce((F.col("kind") == "video") & (F.col("duration") >= LONG_INTERVIEW_S), F.lit(False)) & talk
+    faces = F.coalesce(F.col("n_faces") >= 1, F.lit(False))
+    likelier = F.greatest(F.coalesce("people_p", F.lit(0.0)), F.coalesce("interview_p", F.lit(0.0)))
+    was_scene = ~long_ & F.coalesce(~F.col("category").isin("people", "interview", "other"), F.lit(False))
     likely = F.coalesce(F.col("scene_p") >= SECOND, F.lit(False))
     return items.select(
         "*",
-        F.when(long_, "interview").when(faces, "people").otherwise(F.col("category")).alias("new_category"),
-        F.when(long_, F.greatest("score", "guess_score")).when(faces, 1.0).otherwise(F.col("score")).alias("new_score"),
-        F.when(~faces, F.col("guess")).when(was_scene, F.col("category")).when(likely, F.col("scene")).otherwise("people").alias("new_guess"),
-        F.when(~faces, F.col("guess_score")).when(was_scene, F.col("score")).when(likely, F.col("scene_p")).otherwise(1.0).alias("new_guess_score"),
+        F.when(faces, "people").when(long_, "interview").otherwise(F.col("category")).alias("new_category"),
+        F.when(faces, 1.0).when(long_, likelier).otherwise(F.col("score")).alias("new_score"),
+        F.when(~faces & long_, "interview").when(~faces, F.col("guess")).when(was_scene, F.col("category")).when(likely, F.col("scene")).otherwise("people").alias("new_guess"),
+        F.when(~faces & long_, likelier).when(~faces, F.col("guess_score")).when(was_scene, F.col("score")).when(likely, F.col("scene_p")).otherwise(1.0).alias("new_guess_score"),
     )
 
 

@@ -2,42 +2,56 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+class Shelf:
+    """Rows of a pick as arrays: numbered variants and angles, their places by score, and what has been taken of each."""
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values(["score", "id"], ascending=[False, True], ignore_index=True)
+        self.ids, self.free = rows["id"].to_numpy(), np.ones(len(rows), bool)
+        self.variant, names = pd.factorize(rows["variant"], sort=True)
+        self.angle, _ = pd.factorize(rows["angle"], sort=True, use_na_sentinel=False)  # an unknown angle is the last
+        size = rows.groupby(self.variant)["size"].first() if "size" in rows else pd.Series(self.variant).value_counts().sort_index()
+        self.by_size = np.lexsort((np.arange(len(names)), -size.to_numpy()))
+        self.taken = {"variant": np.zeros(len(names), int), "angle": np.zeros(self.angle.max(initial=-1) + 1, int)}
+
+    def take(self, fits: np.ndarray, spread: str) -> int | None:
+        """The free row among those that fit whose `spread` has been taken least, then the best one."""
+        at = np.flatnonzero(fits & self.free)
+        if not len(at):
+            return None
+        load = self.taken[spread][getattr(self, spread)[at]]
+        best = at[np.argmin(load)]  # the first of the least, and rows are in order of score
+        self.free[best] = False
+        for name, counts in self.taken.items():
+            counts[getattr(self, name)[best]] += 1
+        return int(self.ids[best])
+
+    def wishes(self) -> Iterator[int | None]:
+        """Picks without end: every variant, every angle that those left out, then the variants in rounds."""
+        for v in self.by_size:
+            yield self.take(self.variant == v, "angle")
+        for a in np.flatnonzero(self.taken["angle"] == 0):
+            yield self.take(self.angle == a, "variant")
+        while self.free.any():
+            open_ = [v for v in self.by_size if self.free[self.variant == v].any()]
+            yield self.take(self.variant == min(open_, key=self.taken["variant"].__getitem__), "angle")
+
+
 def coverage_pick(rows: pd.DataFrame, n: int) -> list[int]:
     """Up to n ids of (id, variant, angle, score): every variant first, the largest first, then every angle, then the
     variants with fewest picks; larger scores first, ties to the smaller id. Where rows are left out, `size` has their
     variants' sizes."""
-    left = rows.sort_values(["score", "id"], ascending=[False, True]).to_dict("records")
-    size = Counter(r["variant"] for r in left) if "size" not in rows else {r["variant"]: r["size"] for r in left}
-    per_variant, per_angle, picked = Counter(), Counter(), []
-    angle = lambda r: None if pd.isna(r["angle"]) else r["angle"]
-
-    def take(fits, key) -> None:
-        own = [r for r in left if fits(r)]
-        if own and len(picked) < n:
-            best = min(own, key=key)
-            left.remove(best)
-            picked.append(int(best["id"]))
-            per_variant[best["variant"]] += 1
-            per_angle[angle(best)] += 1
-
-    by_angle = lambda r: (per_angle[angle(r)], -r["score"], r["id"])
-    for v in sorted(size, key=lambda v: (-size[v], v)):
-        take(lambda r, v=v: r["variant"] == v, by_angle)
-    for a in sorted({angle(r) for r in left}, key=lambda a: (a is None, a if a is not None else 0)):
-        if not per_angle[a]:
-            take(lambda r, a=a: angle(r) == a, lambda r: (per_variant[r["variant"]], -r["score"], r["id"]))
-    while left and len(picked) < n:
-        v = min({r["variant"] for r in left}, key=lambda v: (per_variant[v], -size[v], v))
-        take(lambda r, v=v: r["variant"] == v, by_angle)
-    return picked
+    return list(islice((x for x in Shelf(rows).wishes() if x is not None), max(n, 0))) if len(rows) else []
 
 
 def pick_each(df: DataFrame, n: int) -> DataFrame:
@@ -57,29 +71,23 @@ def pick_each(df: DataFrame, n: int) -> DataFrame:
 
 
 def split_total(total: int, weights: dict[int, int], caps: dict[int, int]) -> dict[int, int]:
-    """A total dealt out by weight with caps: whole shares first, then largest remainders, again and again."""
-    out = dict.fromkeys(weights, 0)
-    left = total
-    while left > 0:
-        open_ = [p for p in weights if out[p] < caps.get(p, total) and weights[p] > 0]
-        if not open_:
-            break
-        w = sum(weights[p] for p in open_)
-        shares = {p: left * weights[p] / w for p in open_}
-        given = 0
-        for p in open_:
-            give = min(int(shares[p]), caps.get(p, total) - out[p])
-            out[p] += give
-            given += give
-        for p in sorted(open_, key=lambda p: (int(shares[p]) - shares[p], p)):
-            if given >= left or out[p] >= caps.get(p, total):
-                continue
-            out[p] += 1
-            given += 1
-        if not given:
+    """A total dealt out by weight with caps: whole shares first, then one each by largest remainder, ties to the smaller
+    key; what a cap turns away is dealt out again among the others."""
+    keys = np.array(sorted(weights))
+    w = np.array([max(weights[k], 0) for k in keys.tolist()], float)
+    room = np.array([min(caps.get(k, total), max(total, 0)) for k in keys.tolist()])
+    out = np.zeros(len(keys), int)
+    while (left := total - out.sum()) > 0 and (open_ := (w > 0) & (out < room)).any():
+        share = np.where(open_, left * w / w[open_].sum(), 0.0)
+        whole = np.minimum(np.floor(share).astype(int), room - out)
+        spare = open_ & (out + whole < room)
+        order = np.lexsort((keys, np.floor(share) - share))
+        ones = order[spare[order]][: left - whole.sum()]
+        if not whole.any() and not len(ones):
             break
-        left -= given
-    return out
+        out += whole
+        out[ones] += 1
+    return dict(zip(keys.tolist(), out.tolist(), strict=True))
 
 
 def swap_ring(df: DataFrame, group: str, *order) -> DataFrame:

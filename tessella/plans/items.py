@@ -46,9 +46,11 @@ SHARED = {
     "exposure_s": "CASE WHEN k % 18 = 0 THEN 0.0e0 ELSE 1.0e0 / (2 + k * k) END",
     "ev_bias": "CASE WHEN k % 2 = 0 THEN (k % 7 - 3) / 3.0e0 END",
     "flash": "CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN -1 ELSE k % 32 END",
+    "focal_mm": "CASE WHEN k % 21 = 0 THEN NULL ELSE 12.0e0 + k * 2 END",
+    "flicker": "CASE WHEN k % 4 = 0 THEN 'pulsing' WHEN k % 4 = 1 THEN 'none' WHEN k % 4 = 2 THEN 'unknown' END",
     "qhash": "concat('q', CAST((event_id * 7919) % 9000 AS STRING))",
 }
-_DOUBLES = {"duration", "fps", "capture_fps", "category_score", "category_guess_score", "cluster_score", "lat", "lon", "fnumber", "exposure_s", "ev_bias", "sharp"}
+_DOUBLES = {"duration", "fps", "capture_fps", "category_score", "category_guess_score", "cluster_score", "lat", "lon", "fnumber", "exposure_s", "ev_bias", "sharp", "focal_mm"}
 _LONGS = {"n_faces", "people", "rating", "aerial", "size", "iso", "flash", "id"}
 
 

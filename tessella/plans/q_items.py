@@ -21,8 +21,14 @@ DURATION_SQL = "CASE WHEN duration >= 0 AND duration < 10 THEN 'lt10' WHEN durat
 def bucket_sql(axis: str) -> str:
     if axis == "flash":
         return "CASE WHEN flash IS NULL OR flash < 0 THEN 'unknown' WHEN flash & 1 = 1 THEN 'fired' ELSE 'none' END"
-    tops = " ".join(f"WHEN {axis} <= {top} THEN '{name}'" for top, name in S.CAMERA_BUCKETS[axis] if top is not None)
-    return f"CASE WHEN {axis} IS NULL OR {axis} = 0 THEN 'unknown' {tops} ELSE '{S.CAMERA_BUCKETS[axis][-1][1]}' END"
+    # Written out here, so that the library's own table is tested.
+    cases = {
+        "focal_mm": "WHEN focal_mm <= 19.5 THEN 'lt20' WHEN focal_mm <= 35.5 THEN '20to35' WHEN focal_mm <= 70.5 THEN '36to70' WHEN focal_mm <= 135.5 THEN '71to135' ELSE 'gt135'",
+        "iso": "WHEN iso <= 400 THEN 'le400' WHEN iso <= 1600 THEN 'to1600' WHEN iso <= 6400 THEN 'to6400' ELSE 'gt6400'",
+        "exposure_s": "WHEN exposure_s <= 1.05e0 / 1000 THEN 'fast' WHEN exposure_s <= 1.05e0 / 250 THEN 'action' WHEN exposure_s <= 1.05e0 / 60 THEN 'normal' WHEN exposure_s <= 0.99 THEN 'slow' ELSE 'long'",
+        "fnumber": "WHEN fnumber <= 2 THEN 'wide' WHEN fnumber <= 4 THEN 'mid' WHEN fnumber <= 8 THEN 'small' ELSE 'tiny'",
+    }
+    return f"CASE WHEN {axis} IS NULL OR {axis} = 0 THEN 'unknown' {cases[axis]} END"
 
 
 # One small query for each field of the filter, and one for the conjunction of many.
@@ -45,10 +51,13 @@ FILTERS = {
     "bbox": (Filters(bbox=(-20.0, -60.0, 40.0, 60.0)), "lat BETWEEN -20 AND 40 AND lon BETWEEN -60 AND 60"),
     "bbox_date_line": (Filters(bbox=(-50.0, 150.0, 50.0, -150.0)), "lat BETWEEN -50 AND 50 AND (lon >= 150 OR lon <= -150)"),
     "lens_unknown": (Filters(lens="unknown"), f"NOT {CLIP_SQL} AND coalesce(nullif(lens, ''), 'unknown') = 'unknown'"),
-    "iso": (Filters(iso="to 1600"), f"NOT {CLIP_SQL} AND {bucket_sql('iso')} = 'to 1600'"),
-    "shutter": (Filters(shutter="to 1/1000"), f"NOT {CLIP_SQL} AND {bucket_sql('exposure_s')} = 'to 1/1000'"),
-    "aperture": (Filters(aperture="to 5.6"), f"NOT {CLIP_SQL} AND {bucket_sql('fnumber')} = 'to 5.6'"),
+    "iso": (Filters(iso="to1600"), f"NOT {CLIP_SQL} AND iso > 400 AND iso <= 1600"),
+    "shutter": (Filters(shutter="fast"), f"NOT {CLIP_SQL} AND exposure_s > 0 AND exposure_s <= 0.00105"),
+    "aperture": (Filters(aperture="small"), f"NOT {CLIP_SQL} AND fnumber > 4 AND fnumber <= 8"),
     "flash": (Filters(flash="fired"), f"NOT {CLIP_SQL} AND {bucket_sql('flash')} = 'fired'"),
+    "focal": (Filters(focal="36to70"), f"NOT {CLIP_SQL} AND focal_mm > 35.5 AND focal_mm <= 70.5"),
+    "flicker": (Filters(flicker="pulsing"), f"{CLIP_SQL} AND flicker = 'pulsing'"),
+    "day": (Filters(day="2024-01-20"), "substr(taken_at, 1, 10) = '2024-01-20'"),
     "flag_none": (Filters(flag="none"), "coalesce(flag, 'none') = 'none'"),
     "stars": (Filters(stars_min=3), "coalesce(rating, 0) >= 3"),
     "label": (Filters(label="red"), "coalesce(label, 'none') = 'red'"),
@@ -98,30 +107,39 @@ def sharp_percentile(spark, sf):
 
 _AXES = {
     "kind": f"CASE WHEN {CLIP_SQL} THEN 'videos' ELSE 'photos' END", "faces": f"CASE {FACES_SQL} WHEN 0 THEN 'none' WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE CASE WHEN {FACES_SQL} >= 3 THEN 'group' END END",
-    "cameras": "coalesce(camera, 'unknown')", "shot_size": "coalesce(shot_size, 'unscored')", "slowmo": f"CASE WHEN {CLIP_SQL} THEN coalesce({SPEED_SQL}, 'unknown') END",
-    "look": f"CASE WHEN {CLIP_SQL} THEN coalesce({LOOK_SQL}, 'unknown') END", "duration": f"CASE WHEN {CLIP_SQL} THEN {DURATION_SQL} END",
+    "cameras": "nullif(camera, '')", "shot_size": "nullif(shot_size, '')", "slowmo": f"CASE WHEN {CLIP_SQL} THEN {SPEED_SQL} END",
+    "look": f"CASE WHEN {CLIP_SQL} THEN {LOOK_SQL} END", "focal": f"CASE WHEN NOT {CLIP_SQL} THEN {bucket_sql('focal_mm')} END",
+    "flicker": f"CASE WHEN {CLIP_SQL} AND flicker IN ('pulsing', 'banding', 'none') THEN flicker END", "groups": "CASE WHEN copies_id IS NOT NULL THEN 'copies' END", "duration": f"CASE WHEN {CLIP_SQL} THEN {DURATION_SQL} END",
     "lens": f"CASE WHEN NOT {CLIP_SQL} THEN coalesce(nullif(lens, ''), 'unknown') END", "iso": f"CASE WHEN NOT {CLIP_SQL} THEN {bucket_sql('iso')} END",
     "shutter": f"CASE WHEN NOT {CLIP_SQL} THEN {bucket_sql('exposure_s')} END", "aperture": f"CASE WHEN NOT {CLIP_SQL} THEN {bucket_sql('fnumber')} END",
-    "flash": f"CASE WHEN NOT {CLIP_SQL} THEN {bucket_sql('flash')} END", "flag": "coalesce(flag, 'none')", "label": "coalesce(label, 'none')",
+    "flash": f"CASE WHEN NOT {CLIP_SQL} THEN {bucket_sql('flash')} END",
     "days": "substr(taken_at, 1, 10)", "drone": "CASE WHEN coalesce(aerial, 0) <> 0 THEN 'drone' END",
 }
 _FAILS = {"kind": CLIP_SQL, "cameras": "coalesce(camera = 'CAM3', FALSE)", "faces": f"coalesce({FACES_SQL} = 1, FALSE)"}
 
 
+COPIES_SQL = ITEMS_SQL.replace("items AS (", "items AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY qhash) > 1 THEN min(id) OVER (PARTITION BY qhash) END AS copies_id FROM (", 1) + ")"
+
+
 def _facet_sql() -> str:
     passing = lambda but: " AND ".join(p for a, p in _FAILS.items() if a != but) or "TRUE"
     base = "coalesce(rating, 0) >= 1"
     parts = [f"SELECT '{a}' AS axis, {v} AS value FROM items WHERE {base} AND {passing(a)}" for a, v in _AXES.items()]
-    for v in ("coalesce(category, 'unclassified')", "CASE WHEN category = 'people' AND category_guess <> 'people' THEN category_guess END"):
+    for v in ("coalesce(category, 'unclassified')", "CASE WHEN category IN ('people', 'other') AND category_guess <> category THEN category_guess END"):
         parts.append(f"SELECT 'categories', {v} FROM items WHERE {base} AND {passing('')}")
     parts.append(f"SELECT 'total', 'all' FROM items WHERE {base} AND {passing('')}")
-    return f"{WITH}, p AS ({' UNION ALL '.join(parts)}) SELECT axis, value, count(*) AS n FROM p WHERE value IS NOT NULL GROUP BY 1, 2"
+    return f"WITH {COPIES_SQL}, p AS ({' UNION ALL '.join(parts)}) SELECT axis, value, count(*) AS n FROM p WHERE value IS NOT NULL GROUP BY 1, 2"
 
 
 # stars_min belongs to no axis, so it bounds all of them.
 @query("facet_counts", _facet_sql())
 def facet_counts(spark, sf):
-    return facets.facet_counts(items(spark, sf), Filters(kind="videos", camera="CAM3", faces="one", stars_min=1))
+    return facets.facet_counts(sequence.duplicate_sets(items(spark, sf)), Filters(kind="videos", camera="CAM3", faces="one", stars_min=1))
+
+
+@query("facet_group_sets", f"WITH {COPIES_SQL} SELECT 'copies' AS value, count(DISTINCT copies_id) AS n FROM items WHERE {CLIP_SQL} AND coalesce(rating, 0) >= 1 HAVING count(copies_id) > 0")
+def facet_group_sets(spark, sf):
+    return facets.group_sets(sequence.duplicate_sets(items(spark, sf)), Filters(kind="videos", group="copies", stars_min=1))
 
 
 @query("days_rollup", f"{WITH} SELECT substr(taken_at, 1, 10) AS day, count(*) AS n, count(*) FILTER (WHERE {CLIP_SQL}) AS videos, CAST(sum(size) AS BIGINT) AS bytes FROM items GROUP BY 1")
@@ -158,14 +176,24 @@ def mark_counts(spark, sf):
     return rollups.mark_counts(items(spark, sf))
 
 
-for _axis in ("iso", "fnumber", "exposure_s", "flash"):
+for _axis in ("iso", "fnumber", "exposure_s", "focal_mm", "flash"):
     query(f"bucket_{_axis}", f"{WITH} SELECT {bucket_sql(_axis)} AS value, count(*) AS n FROM items WHERE NOT {CLIP_SQL} GROUP BY 1")(
         lambda spark, sf, a=_axis: rollups.counts(items(spark, sf).filter(F.coalesce("kind", F.lit("photo")) != "video"), S.bucket(a, F.col(a)), "value")
     )
-for _key in ("camera", "cluster", "kind", "shot_size"):
+for _key in ("camera", "cluster"):
     query(f"counts_{_key}", f"{WITH} SELECT {_key} AS value, count(*) AS n FROM items GROUP BY 1")(lambda spark, sf, k=_key: rollups.counts(items(spark, sf), k, "value"))
 
 
+@query("counts_kind", f"{WITH} SELECT coalesce(kind, 'photo') AS value, count(*) AS n FROM items WHERE status = 'ok' GROUP BY 1")
+def counts_kind(spark, sf):
+    return rollups.counts(items(spark, sf).filter("status = 'ok'"), F.coalesce("kind", F.lit("photo")), "value")
+
+
+@query("counts_shot_size", f"{WITH} SELECT coalesce(shot_size, 'unscored') AS value, count(*) AS n, CAST(CASE coalesce(shot_size, 'unscored') WHEN 'close' THEN 1 WHEN 'medium' THEN 2 WHEN 'wide' THEN 3 WHEN 'unknown' THEN 4 WHEN 'unscored' THEN 5 ELSE 6 END AS INTEGER) AS pos FROM items WHERE status = 'ok' GROUP BY 1")
+def counts_shot_size(spark, sf):
+    return rollups.shot_sizes(items(spark, sf).filter("status = 'ok'"))
+
+
 @query("ev_brightness", f"""{WITH} SELECT id, round(ev, 6) AS ev100, round(coalesce(-ev, ev_bias), 6) AS brightness FROM (SELECT *,
 CASE WHEN coalesce(fnumber, 0) <> 0 AND coalesce(exposure_s, 0) <> 0 AND coalesce(iso, 0) <> 0 THEN log2(fnumber * fnumber / exposure_s) - log2(iso / 100.0) END AS ev FROM items)""")
 def ev_brightness(spark, sf):

@@ -75,11 +75,11 @@ def sidecar_cards(spark, sf):
     return sinks.sidecars(items(spark, sf)).select("path", F.regexp_extract("xml", 'Rating="(-?[0-9]+)"', 1).cast("long").alias("stars"))
 
 
-RULES_SQL = f"""{WITH}, r AS (SELECT id, category, guess, duration * 10 AS duration, n_faces, category_score AS score, category_guess_score AS guess_score, scene, scene_p FROM (SELECT *, CASE WHEN category = 'view' THEN 'interview' ELSE category_guess END AS guess, 'beach' AS scene, (id % 100) / 300.0 AS scene_p FROM items)),
-f AS (SELECT *, coalesce(duration >= 600 AND (coalesce(category IN ('people', 'interview'), FALSE) OR coalesce(guess IN ('people', 'interview'), FALSE)), FALSE) AS talk FROM r),
-g AS (SELECT *, NOT talk AND coalesce(n_faces >= 1, FALSE) AS faces FROM f)
-SELECT id, CASE WHEN talk THEN 'interview' WHEN faces THEN 'people' ELSE category END AS new_category, CASE WHEN talk THEN greatest(score, guess_score) WHEN faces THEN 1.0 ELSE score END AS new_score,
-CASE WHEN NOT faces THEN guess WHEN coalesce(category NOT IN ('people', 'interview', 'other'), FALSE) THEN category WHEN scene_p >= 0.15 THEN scene ELSE 'people' END AS new_guess FROM g"""
+RULES_SQL = f"""{WITH}, r AS (SELECT id, kind, coalesce(sharp, 0.0) / 100 AS people_p, (id % 50) / 60.0 AS interview_p, category, guess, duration * 10 AS duration, n_faces, category_score AS score, category_guess_score AS guess_score, scene, scene_p FROM (SELECT *, CASE WHEN category = 'view' THEN 'interview' ELSE category_guess END AS guess, 'beach' AS scene, (id % 100) / 300.0 AS scene_p FROM items)),
+f AS (SELECT *, coalesce(kind = 'video' AND duration >= 600 AND (coalesce(category IN ('people', 'interview'), FALSE) OR coalesce(guess IN ('people', 'interview'), FALSE)), FALSE) AS talk FROM r),
+g AS (SELECT *, coalesce(n_faces >= 1, FALSE) AS faces FROM f)
+SELECT id, CASE WHEN faces THEN 'people' WHEN talk THEN 'interview' ELSE category END AS new_category, CASE WHEN faces THEN 1.0 WHEN talk THEN greatest(people_p, interview_p) ELSE score END AS new_score,
+CASE WHEN NOT faces THEN CASE WHEN talk THEN 'interview' ELSE guess END WHEN NOT talk AND coalesce(category NOT IN ('people', 'interview', 'other'), FALSE) THEN category WHEN scene_p >= 0.15 THEN scene ELSE 'people' END AS new_guess FROM g"""
 
 
 @query("classify_rules", RULES_SQL)
@@ -88,7 +88,7 @@ def classify_rules(spark, sf):
 
     guess = F.when(F.col("category") == "view", "interview").otherwise(F.col("category_guess"))
     rows = items(spark, sf).select(
-        "id", "category", guess.alias("guess"), (F.col("duration") * 10).alias("duration"), "n_faces", F.col("category_score").alias("score"),
+        "id", "kind", (F.coalesce("sharp", F.lit(0.0)) / 100).alias("people_p"), ((F.col("id") % 50) / 60.0).alias("interview_p"), "category", guess.alias("guess"), (F.col("duration") * 10).alias("duration"), "n_faces", F.col("category_score").alias("score"),
         F.col("category_guess_score").alias("guess_score"), F.lit("beach").alias("scene"), ((F.col("id") % 100) / 300.0).alias("scene_p"),
     )
     return rules.classified(rows).select("id", "new_category", "new_score", "new_guess")

@@ -97,9 +97,8 @@ def _same(v):
     return pairs.join(v.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
 
 
-# The SQL bounds its decisions by id 499, as in the 500 rows it was written for; on larger tables it links fewer rows.
 @query("linked_groups_kept_names", f"""{V_SQL}, e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id WHERE list_inner_product(a.vector, b.vector) >= 0.4
-  UNION SELECT id, id + 100 FROM v WHERE id % 50 = 1 AND id + 100 <= 499 UNION SELECT id + 100, id FROM v WHERE id % 50 = 1 AND id + 100 <= 499),
+  UNION SELECT a.id, b.id FROM v a JOIN v b ON b.id = a.id + 100 WHERE a.id % 50 = 1 UNION SELECT b.id, a.id FROM v a JOIN v b ON b.id = a.id + 100 WHERE a.id % 50 = 1),
 r AS (WITH RECURSIVE r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS id, min(b) AS root FROM r GROUP BY 1)
 SELECT root, count(*) AS n FROM r GROUP BY 1""")
 def linked_groups(spark, sf):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +13,14 @@ from tessella.functions import scalars as S
 from tessella.operators.changes import pair_raw
 
 # File kinds by suffix.
-STANDARD = [".jpg", ".jpeg", ".png", ".heic", ".tif", ".tiff", ".webp"]
-RAW = [".arw", ".cr2", ".cr3", ".dng", ".nef", ".orf", ".raf", ".rw2"]
-VIDEO = [".mp4", ".mov", ".m4v", ".mts", ".m2ts", ".avi", ".mkv"]
+STANDARD = [".jpg", ".jpeg", ".png", ".heic", ".heif", ".hif", ".avif", ".tif", ".tiff", ".webp"]
+RAW = [
+    ".arw", ".cr2", ".cr3", ".nef", ".dng", ".raf", ".orf", ".rw2", ".pef", ".3fr", ".fff", ".iiq", ".x3f", ".srw", ".erf", ".mrw", ".kdc",
+    ".dcr", ".nrw", ".sr2", ".srf", ".mos", ".mef", ".rwl", ".crw", ".ori",
+]
+VIDEO = [".mp4", ".mov", ".m4v", ".mts", ".m2ts", ".avi", ".mxf", ".mpg", ".mpeg", ".mkv", ".webm", ".3gp"]
+# Offset and length of the packets of a transport stream.
+STRIDES = [(0, 188), (4, 192), (4, 188)]
 # Folders that are not looked into.
 PRUNED = ["node_modules", "__pycache__", "venv", "site-packages"]
 PACKAGES = [".app", ".photoslibrary", ".lrdata", ".bundle"]
@@ -56,17 +65,40 @@ def skipped(files: DataFrame) -> DataFrame:
 
 
 def transport_stream(content: Column) -> Column:
-    """Whether sync bytes stand at one of three packet strides (188, 192 with a prefix of four, 204)."""
-    head = F.hex(F.substring(content, 1, SAMPLE_BYTES + 220))
+    """Whether the first bytes have sync bytes a packet apart, in one of three layouts."""
+    head = F.hex(F.substring(content, 1, SAMPLE_BYTES))
     at = lambda i: F.substring(head, 2 * i + 1, 2) == "47"
-    return F.coalesce((at(0) & at(188)) | (at(4) & at(196)) | (at(0) & at(204)), F.lit(False))
+    return F.coalesce(reduce(lambda a, b: a | b, [at(start) & at(start + step) for start, step in STRIDES]), F.lit(False))
 
 
 def content_keys(spark: SparkSession, root: str) -> DataFrame:
     """(rel, qhash) by size, first and last bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), F.lit("^" + _quoted(root) + "/?"), F.lit(""))
-    return files.select(rel.alias("rel"), S.quick_hash(F.col("content"), F.col("length")).alias("qhash"))
+    return read_ends(files).select(rel.alias("rel"), F.sha1(F.concat(F.col("length").cast("string").cast("binary"), "head", "tail")).alias("qhash"))
+
+
+def read_ends(files: DataFrame, chunk: int = 65536) -> DataFrame:
+    """(path, length, head, tail): the first bytes of files, and those of their last that are not among them. No more of a
+    file is read, whatever its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            ends: list[tuple[bytes, bytes]] = []
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                local = path.startswith("file:")
+                store, name = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(path)
+                with store.open_input_file(name) as f:
+                    head, tail = f.read(chunk), b""
+                    if size > chunk:
+                        f.seek(max(size - chunk, chunk))
+                        tail = f.read(chunk)
+                ends.append((head, tail))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in ([h for h, _ in ends], [t for _, t in ends]))], names=["path", "length", "head", "tail"])
+
+    return files.select("path", "length").mapInArrow(run, "path string, length long, head binary, tail binary")
 
 
 def recent_folders(files: DataFrame, now: float, within: float = 60.0, n: int = 3) -> DataFrame:

@@ -57,7 +57,7 @@ def store_plan(items: DataFrame) -> DataFrame:
     """Numbered names for each product, in the order they were taken."""
     order = Window.partitionBy("product").orderBy(F.col("taken_at").asc_nulls_last(), F.col("frame_no").asc_nulls_last(), "id")
     n = F.row_number().over(order)
-    return items.withColumn("n", n).withColumn("name", F.format_string("%s_%03d", S.safe_segment(F.col("product")), F.col("n")))
+    return items.withColumn("n", n).withColumn("name", F.format_string("%s_%03d", S.file_segment(F.col("product")), F.col("n")))
 
 
 def move_plan(items: DataFrame) -> DataFrame:

@@ -22,5 +22,5 @@ def test_every_order_is_paired(spark, tmp_path):
         if len(std) == len(raw) == 1:
             want[rel(*std[0])] = rel(*raw[0])
     want |= {rel(*x): None for x in files if rel(*x) not in want and rel(*x) not in want.values()}
-    got = catalogue.queries()["pair_raw_jpeg_whole"](spark, str(tmp_path)).collect()
+    got = catalogue.queries()["pair_raw_jpeg"](spark, str(tmp_path)).collect()
     assert {r.rel: r.sibling for r in got} == want and len(got) == len(want)
