@@ -38,6 +38,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 #: Terms: pairs of characters of scripts without blanks, and runs of letters, marks and digits of other scripts.
 TERM = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]{2}|[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]]{2,}+"
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
 #: Documents that smooth the counts, and shares of an entity's information at which a term is generalised and removed.
 SMOOTH, GENERALISE, REMOVE = 0.5, 0.7, 0.9
 NAMES = ["email", "ip", "card", "phone"]
@@ -77,6 +78,12 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("row", "x", F.when(found, F.array_sort(F.concat(*kinds))).otherwise(F.array().cast(TAGGED)).alias("base"))
 
 
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text. Splitting between words is cheaper than the pattern, which only some scripts need."""
+    plain = F.filter(F.split(text, r"[^\p{L}\p{M}\p{N}]+"), lambda w: F.length(w) >= 2)
+    return F.array_distinct(F.when(text.rlike(UNSPACED), matches(text, TERM)).otherwise(plain))
+
+
 def entity(span: Column) -> Column:
     """What names a protected value: its kind, and its digits or its text in lower case."""
     value = F.when(span["kind"].isin("card", "phone"), F.regexp_replace(span["value"], "[^0-9]", "")).otherwise(F.lower(span["value"]))
@@ -109,7 +116,7 @@ def judged(texts: DataFrame, terms: DataFrame, docs: DataFrame, total: int, gene
     held = stored(held, "pii-held")
     fewest = held.groupBy("key").agg(F.min("n_e").alias("low"))
     # Terms of all documents; those of many documents are spread, as many texts with entities hold them.
-    words = docs.select(F.explode(F.array_distinct(matches(F.lower("x"), TERM))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    words = docs.select(F.explode(terms_of(F.lower("x"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     known = terms.groupBy("term").agg(F.sum("weight").alias("n_own"), F.count("*").alias("n_texts")).join(words, "term")
     known = stored(known, "pii-terms")
     own = salted_join(terms.select("key", "weight", "term"), known.select("term", "n_t"), ["term"], hot_keys(known, ["term"], "n_texts", n_texts, 64)).join(fewest, "key")
@@ -137,7 +144,8 @@ def find_private(
     found = base_spans(docs, text)
     hits = stored(found.filter(F.size("base") > 0).withColumn("key", row_key(F.col("x"))), "pii-hits")
     # Documents without an entity need nothing else.
-    rest = found.filter(F.size("base") == 0).select("row", "base", F.col("base").alias("spans"))
+    none = F.array().cast(TAGGED)
+    rest = found.filter(F.size("base") == 0).select("row", none.alias("base"), none.alias("spans"))
     texts = stored(hits.groupBy("key").agg(F.count("*").alias("weight"), F.first(F.struct("x", "base")).alias("t")).select("key", "weight", "t.*"), "pii-texts")
     lower = lambda a: F.transform(a, lambda w: F.lower(w["value"]))
     x = F.col("x")
