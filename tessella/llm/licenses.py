@@ -27,15 +27,76 @@ from tessella.llm._common import table, values, words_of
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
 # Wording of public licences, with optional and replaceable regions marked.
+MIT_GRANT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
+    "files the software to deal in the software without restriction including without limitation the rights to use copy modify "
+    "merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
+    "furnished to do so subject to the following conditions"
+)
+MIT_WARRANTY = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties "
+    "of merchantability fitness for a particular purpose and {{1,3}} in no event shall {{2,8}} be liable for any claim damages or "
+    "other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or "
+    "the use or other dealings in the software"
+)
+BSD_HEAD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+    "conditions are met [[ {{1,1}} ]] redistributions of source code must retain the above copyright notice this list of conditions "
+    "and the following disclaimer [[ {{1,1}} ]] redistributions in binary form must reproduce the above copyright notice this list of "
+    "conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+BSD_TAIL = (
+    "this software is provided by {{1,12}} as is and any express or implied warranties including but not limited to the implied "
+    "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{1,12}} be liable for any "
+    "direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute "
+    "goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in "
+    "contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if "
+    "advised of the possibility of such damage"
+)
+GNU_HEAD = (
+    "{{1,6}} is free software you can redistribute it and or modify it under the terms of the gnu"
+)
+GNU_TAIL = "or at your option any later version"
 TEMPLATES = {
+    "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the "
+    "license you may obtain a copy of the license at [[ {{1,8}} ]] unless required by applicable law or agreed to in writing software "
+    "distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or "
+    "implied see the license for the specific language governing permissions and limitations under the license",
     "apache-2.0-notice": "licensed under the apache license version 2 0",
     "cc-by-notice": "licensed under [[ a ]] [[ the ]] [[ creative commons attribution ]] cc by [[ {{1,2}} ]] [[ license ]]",
     "gpl-notice": "licensed under the gnu [[ lesser ]] [[ affero ]] general public license [[ version {{1,2}} ]]",
+    "gpl-2.0-or-later": f"{GNU_HEAD} general public license as published by the free software foundation either version 2 [[ of the license ]] {GNU_TAIL}",
+    "gpl-3.0-or-later": f"{GNU_HEAD} general public license as published by the free software foundation either version 3 [[ of the license ]] {GNU_TAIL}",
+    "lgpl-2.1-or-later": f"{GNU_HEAD} lesser general public license as published by the free software foundation either version 2 1 [[ of the license ]] {GNU_TAIL}",
+    "agpl-3.0-or-later": f"{GNU_HEAD} affero general public license as published by the free software foundation either version 3 [[ of the license ]] {GNU_TAIL}",
+    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed "
+    "with this file you can obtain one at",
+    "mit": f"{MIT_GRANT} the above copyright notice and this permission notice [[ including the next paragraph ]] shall be included in all copies "
+    f"or substantial portions of the software {MIT_WARRANTY}",
+    "mit-0": f"{MIT_GRANT.removesuffix(' subject to the following conditions')} {MIT_WARRANTY}",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of {{1,6}} and associated "
     "documentation files [[ the software ]] to deal in the software without restriction",
     "mit-notice": "[[ released ]] [[ licensed ]] under the mit license",
+    "isc": "permission to use copy modify and [[ or ]] distribute this software for any purpose with or without fee is hereby granted provided "
+    "that the above copyright notice and this permission notice appear in all copies the software is provided as is and {{1,6}} disclaims "
+    "all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{1,6}} be "
+    "liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+    "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of "
+    "this software",
+    "bsd-2-clause": f"{BSD_HEAD} {BSD_TAIL}",
+    "bsd-3-clause": f"{BSD_HEAD} [[ {{{{1,1}}}} ]] neither the name of {{{{1,12}}}} nor the names of {{{{1,3}}}} contributors may be used to endorse or "
+    f"promote products derived from this software without specific prior written permission {BSD_TAIL}",
     "bsd-terms": "redistribution and use in source and binary forms with or without modification are permitted provided "
     "that the following conditions are met",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages "
+    "arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial "
+    "applications and to alter it and redistribute it freely subject to the following restrictions [[ {{1,1}} ]] the origin of this software "
+    "must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an "
+    "acknowledgment in the product documentation would be appreciated but is not required [[ {{1,1}} ]] altered source versions must be plainly "
+    "marked as such and must not be misrepresented as being the original software [[ {{1,1}} ]] this notice may not be removed or altered from "
+    "any source distribution",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell "
+    "or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
     "reserved-notice": "copyright [[ c ]] {{0,8}} all rights reserved",
 }
 
@@ -57,27 +118,24 @@ class Automaton:
                 runs.append((-1, []))
             elif t == "]]":
                 self.skips.setdefault(opened.pop(), []).append(len(self.words))
-                runs.append((0, []))
+                runs.append((len(self.words), []))
             elif t.startswith("{{"):
                 low, high = map(int, t[2:-2].split(","))
                 start = len(self.words)
                 self.words += [None] * high
                 self.anything += [True] * high
-                self.skips.setdefault(start + low, [])
                 for i in range(low, high):
                     self.skips.setdefault(start + i, []).append(start + high)
-                runs.append((0, []))
+                runs.append((-1 if opened else len(self.words), []))
             else:
                 self.words.append(t.encode())
                 self.anything.append(False)
                 if not opened:
                     runs[-1][1].append(t.encode())
         self.end = len(self.words)
-        #: The longest run of words that every accepted place holds.
-        self.anchor = b" " + b" ".join(max((r for _, r in runs), key=len)) + b" "
-        #: Words at most between the start of a place and its anchor.
-        self.reach = self.end
-        self.mandatory = sum(len(r) for _, r in runs)
+        #: The longest run of words that every accepted place holds, and the words at most before it.
+        self.reach, longest = max(((at, r) for at, r in runs if at >= 0), key=lambda x: len(x[1]))
+        self.anchor = b" " + b" ".join(longest) + b" "
 
     def closed(self, states: set[int]) -> set[int]:
         stack, out = list(states), set(states)
@@ -139,7 +197,8 @@ def scan(raw: bytes | None) -> dict:
     for x in sorted(spans, key=lambda x: x["start"]):
         covered += max(0, x["end"] - max(upto, x["start"]))
         upto = max(upto, x["end"])
-    score = 0.0 if not (base or spans) else 1.0 if spans else 0.5
+    share = min(1.0, (covered + sum(len(p.split()) for p, label in PHRASES if label in base)) / len(words)) if words else 0.0
+    score = 0.5 + 0.5 * share if spans else 0.5 * share
     return {
         "n_words": len(words), "n_base": len(firsts), "first_word": min(firsts, default=None), "last_word": max(firsts, default=None),
         "base_labels": sorted({*base}), "labels": sorted({*base} | labels), "spans": spans, "licensed_words": covered, "score": score,
@@ -155,7 +214,8 @@ FOUND = (
 def scan_licenses(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """docs' columns in a struct `row`, and a struct `found`: labels, spans of words with their template, and a score.
 
-    The score is 1 where a template is accepted, 0.5 where only a phrase stands, else 0.
+    The score is 0 without a match. Half of it says that a template is accepted, the other half is the share of the text's
+    words that accepted templates, and a phrase of each label, cover.
     """
     packed = docs.select(F.struct("*").alias("row"), F.col(text).cast("binary").alias("raw"))
     schema = packed.select("row", F.lit(None).cast(FOUND).alias("found")).schema
