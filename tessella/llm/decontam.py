@@ -29,8 +29,10 @@ from pyspark.sql import types as T
 from tessella.llm._common import portions, table, values, words_of
 
 WIDTH, SLOP, RAREST = 10, 24, 4
-#: Characters of benchmark text in a block that is broadcast.
-BLOCK_CHARS = 16_000_000
+#: Characters of benchmark text in a block that is broadcast: about 300,000 windows, or 25 MB.
+BLOCK_CHARS = 2_000_000
+#: Places of windows' rarest terms that are intersected at once.
+PLACES_AT_ONCE = 500_000
 #: Bytes of text that a task indexes at once; a longer text is a portion by itself.
 PORTION_BYTES = 8_000_000
 
@@ -45,93 +47,111 @@ STATE = T.StructType(
 
 
 class Block:
-    """Test terms and windows of some benchmark items."""
+    """Test terms and windows of some benchmark items, as arrays: about 60 bytes for each window."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], width: int):
         self.names: list[str] = []
         self.terms: dict[bytes, int] = {}
         self.item_terms: list[np.ndarray] = []
-        windows: dict[tuple[int, ...], set[int]] = {}
+        rows, sizes, owners = [], [], []
         for name, raw in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words_of(raw)]
-            if not ids:
+            ids = np.array([self.terms.setdefault(w, len(self.terms)) for w in words_of(raw)], np.int32)
+            if not len(ids):
                 continue
-            item = len(self.names)
+            size = min(width, len(ids))
+            windows = np.full((len(ids) - size + 1, width), -1, np.int32)
+            windows[:, :size] = np.lib.stride_tricks.sliding_window_view(ids, size)
+            rows.append(windows)
+            sizes.append(np.full(len(windows), size, np.int32))
+            owners.append(np.full(len(windows), len(self.names), np.int32))
             self.names.append(name)
             self.item_terms.append(np.unique(ids))
-            for i in range(max(1, len(ids) - width + 1)):
-                windows.setdefault(tuple(ids[i : i + width]), set()).add(item)
-        self.windows = [np.array(w) for w in windows]
-        self.owners = [sorted(x) for x in windows.values()]
-        self.width = max(map(len, self.windows), default=0)
+        self.windows = np.concatenate(rows) if rows else np.zeros((0, width), np.int32)
+        self.sizes, self.owners = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (sizes, owners))
+        self.width = int(self.sizes.max(initial=0))
+        self.words = sorted(self.terms)  # ties in frequency go by the term itself
         self.counts = np.zeros(len(self.terms), np.int64)
 
     def rank(self, counts: dict[bytes, int], rarest: int) -> None:
         """Order every window's offsets, and each item's terms, by their frequency in the corpus."""
-        for term, i in self.terms.items():
-            self.counts[i] = counts.get(term, 0)
-        self.order = [np.lexsort((np.arange(len(w)), self.counts[w])) for w in self.windows]
-        # A window can occur only where its rarest term does: that term is looked up for all windows at once.
-        self.first = np.array([w[o[0]] for w, o in zip(self.windows, self.order, strict=True)], np.int64)
-        self.signs = [x[np.lexsort((x, self.counts[x]))][:rarest] for x in self.item_terms]
+        place = np.zeros(len(self.terms), np.int64)
+        for k, term in enumerate(self.words):
+            place[self.terms[term]] = k
+            self.counts[self.terms[term]] = counts.get(term, 0)
+        seen = np.where(self.windows >= 0, self.counts[self.windows] if len(self.counts) else 0, np.iinfo(np.int64).max)
+        self.order = np.argsort(seen, axis=1, kind="stable").astype(np.int16)
+        self.signs = [x[np.lexsort((place[x], self.counts[x]))][:rarest] for x in self.item_terms]
 
 
 class Index:
-    """Postings of the test terms in a portion of documents; positions run on over documents, with gaps between them."""
+    """Postings of the test terms in a portion of documents, as sorted numbers term * span + position; positions run on
+    over documents, with gaps between them."""
 
     def __init__(self, texts: list[bytes | None], terms: dict[bytes, int], gap: int):
-        get, found, at, place = terms.get, [], [], 0
+        get, found, at, place = terms.get, [], [], gap
         self.starts, self.sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for d, raw in enumerate(texts):
             words = words_of(raw)
             self.starts[d], self.sizes[d] = place, len(words)
-            ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+            ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
             kept = np.flatnonzero(ids >= 0)
             found.append(ids[kept])
             at.append(kept + place)
             place += len(words) + gap
-        ids = np.concatenate(found) if found else np.zeros(0, np.int32)
-        order = np.argsort(ids, kind="stable")
-        self.positions = (np.concatenate(at) if at else np.zeros(0, np.int64))[order]
-        self.ends = np.cumsum(np.bincount(ids, minlength=len(terms)))
+        self.span = place + gap
+        ids, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, at))
+        self.keys = np.sort(ids * self.span + at)
 
-    def list(self, term: int) -> np.ndarray:
-        return self.positions[self.ends[term - 1] if term else 0 : self.ends[term]]
-
-    def sizes_of(self) -> np.ndarray:
-        return np.diff(self.ends, prepend=0)
-
-
-def held(sorted_list: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which of the values the list holds."""
-    i = np.searchsorted(sorted_list, values)
-    i[i == len(sorted_list)] = 0
-    return sorted_list[i] == values if len(sorted_list) else np.zeros(len(values), bool)
+    def bounds(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the lists of terms begin and end among the keys."""
+        return np.searchsorted(self.keys, terms * self.span), np.searchsorted(self.keys, (terms + 1) * self.span)
 
-
-def phrases(index: Index, block: Block) -> Iterator[tuple[int, np.ndarray]]:
-    """(window, places where it starts), by intersecting offset-adjusted lists from the rarest term on."""
-    sizes = index.sizes_of()
-    for w in np.flatnonzero(sizes[block.first] > 0) if len(block.first) else ():
-        terms, order = block.windows[w], block.order[w]
-        starts = index.list(terms[order[0]]) - order[0]
-        for o in order[1:]:
-            starts = starts[held(index.list(terms[o]), starts + o)]
-            if not len(starts):
-                break
-        if len(starts):
-            yield w, starts
+    def list(self, term: int) -> np.ndarray:
+        a, b = self.bounds(np.array([term], np.int64))
+        return self.keys[a[0] : b[0]] - term * self.span
+
+    def holds(self, terms: np.ndarray, positions: np.ndarray) -> np.ndarray:
+        want = terms * self.span + positions
+        i = np.minimum(np.searchsorted(self.keys, want), max(len(self.keys) - 1, 0))
+        return self.keys[i] == want if len(self.keys) else np.zeros(len(want), bool)
+
+    def documents(self, positions: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, positions, "right") - 1
+
+
+def phrases(index: Index, block: Block, at_once: int = PLACES_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(windows, places where they start): the list of each window's rarest term, adjusted by its offset, is intersected with
+    those of its other terms from the rarest on; a bounded number of places at once, of all windows together."""
+    if not len(block.windows):
+        return
+    first = block.order[:, 0].astype(np.int64)
+    low, high = index.bounds(block.windows[np.arange(len(first)), first].astype(np.int64))
+    total = np.cumsum(high - low)
+    for base in range(0, int(total[-1]), at_once):
+        k = np.arange(base, min(base + at_once, int(total[-1])))
+        w = np.searchsorted(total, k, "right")
+        start = index.keys[high[w] - (total[w] - k)] - block.windows[w, first[w]].astype(np.int64) * index.span - first[w]
+        for r in range(1, block.windows.shape[1]):
+            o = block.order[w, r].astype(np.int64)
+            term = block.windows[w, o].astype(np.int64)
+            kept = (term < 0) | index.holds(np.maximum(term, 0), start + o)
+            w, start = w[kept], start[kept]
+        if len(w):
+            yield w, start
 
 
 def nearby(index: Index, block: Block, slop: int) -> Iterator[tuple[int, np.ndarray]]:
     """(item, places of its rarest term with its other signs within slop words)."""
-    sizes = index.sizes_of()
+    present = np.zeros(len(block.terms), bool)
+    if len(block.terms):
+        low, high = index.bounds(np.arange(len(block.terms)))
+        present = high > low
     for item, signs in enumerate(block.signs):
-        if not sizes[signs].all():
+        if not present[signs].all():
             continue
-        at = index.list(signs[0])
+        at = index.list(int(signs[0]))
         for t in signs[1:]:
-            other = index.list(t)
+            other = index.list(int(t))
             i = np.searchsorted(other, at)
             after, before = other[np.minimum(i, len(other) - 1)], other[np.maximum(i - 1, 0)]
             at = at[np.minimum(np.abs(after - at), np.abs(at - before)) <= slop]
@@ -159,13 +179,12 @@ def matched(texts: list[bytes | None], block: Block, slop: int) -> list[tuple[in
     items: list[set] = [set() for _ in texts]
     near: list[set] = [set() for _ in texts]
     for w, starts in phrases(index, block):
-        size = len(block.windows[w])
-        docs = np.searchsorted(index.starts, starts, "right") - 1
-        for d, s in zip(docs.tolist(), (starts - index.starts[docs]).tolist(), strict=True):
+        docs = index.documents(starts)
+        for d, s, size, item in zip(docs.tolist(), (starts - index.starts[docs]).tolist(), block.sizes[w].tolist(), block.owners[w].tolist(), strict=True):
             spans[d].append((s, s + size))
-            items[d].update(block.owners[w])
+            items[d].add(item)
     for item, at in nearby(index, block, slop):
-        for d in np.unique(np.searchsorted(index.starts, at, "right") - 1).tolist():
+        for d in np.unique(index.documents(at)).tolist():
             near[d].add(item)
     return [
         (int(n), united(s), {block.names[i] for i in x}, {block.names[i] for i in y})
@@ -250,7 +269,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         n_hit.alias("n_hit"),
         F.size(found["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(found["items"], ","), 256).alias("items_sha256"),
-        (F.size(found.hits) > 0).alias("contaminated"),
+        (F.size(found.hits) > 0).alias("contaminated"), F.size(found.near).cast("long").alias("n_near"),
+        F.sha2(F.array_join(found.near, ","), 256).alias("near_sha256"),
     )
 
 
@@ -271,7 +291,19 @@ doc_words AS (
 ), occurs AS (SELECT p.rid, p.i, p.k, x.item FROM places p JOIN windows x ON p.k = x.k AND p.phrase = x.phrase),
 hit AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + k)) AS j FROM occurs) GROUP BY rid),
 items AS (SELECT rid, count(DISTINCT item) AS n, array_to_string(list_sort(list(DISTINCT item)), ',') AS ids FROM occurs GROUP BY rid)
+, item_rows AS (SELECT row_number() OVER () AS ir, item, w FROM item_words WHERE len(w) > 0),
+item_terms AS (SELECT DISTINCT ir, item, unnest(w) AS term FROM item_rows),
+doc_terms AS (SELECT * FROM (SELECT rid, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM doc_words) SEMI JOIN item_terms USING (term)),
+seen AS (SELECT term, count(*) AS n FROM doc_terms GROUP BY 1),
+signs AS (SELECT * FROM (SELECT t.*, row_number() OVER (PARTITION BY ir ORDER BY coalesce(n, 0), term) AS r FROM item_terms t LEFT JOIN seen USING (term)) WHERE r <= 4),
+sizes_of AS (SELECT ir, max(r) AS k FROM signs GROUP BY 1),
+places_of AS (SELECT s.ir, s.item, s.r, d.rid, d.pos FROM signs s JOIN doc_terms d ON s.term = d.term),
+found AS (
+  SELECT a.rid, a.item FROM places_of a JOIN places_of b ON a.ir = b.ir AND a.rid = b.rid AND abs(a.pos - b.pos) <= 24 JOIN sizes_of k ON k.ir = a.ir
+  WHERE a.r = 1 GROUP BY a.rid, a.item, a.ir, a.pos, k.k HAVING count(DISTINCT b.r) = k.k
+), near AS (SELECT rid, count(DISTINCT item) AS n, array_to_string(list_sort(list(DISTINCT item)), ',') AS ids FROM found GROUP BY rid)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit,
-  CAST(coalesce(x.n, 0) AS BIGINT) AS n_items, sha256(coalesce(x.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
-FROM doc_words d LEFT JOIN hit h USING (rid) LEFT JOIN items x USING (rid)
+  CAST(coalesce(x.n, 0) AS BIGINT) AS n_items, sha256(coalesce(x.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated,
+  CAST(coalesce(e.n, 0) AS BIGINT) AS n_near, sha256(coalesce(e.ids, '')) AS near_sha256
+FROM doc_words d LEFT JOIN hit h USING (rid) LEFT JOIN items x USING (rid) LEFT JOIN near e USING (rid)
 """
