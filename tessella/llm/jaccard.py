@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import row_key, stored, table, values, words_of
+from tessella.llm._common import portions, row_key, stored, table, values, words_of
 from tessella.llm._graph import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 1 - 1e-6
@@ -259,8 +259,16 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def pack_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches of (t, raw): (t, tokens), the sorted shingle hashes of each text, worked out once and not in each cell."""
+    for whole in batches:
+        for batch in portions(whole, 1):
+            tokens = pa.array((shingles(x).tobytes() for x in values(batch.column(1))), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), tokens], names=["t", "tokens"])
+
+
 def verify_cells(threshold: float) -> Callable:
-    """Of batches of (cell, ka, kb, own, bi, bj, raw) in the order of cells: (ka, kb, la, lb, links) for each set: the
+    """Of batches of (cell, ka, kb, own, bi, bj, tokens) in the order of cells: (ka, kb, la, lb, links) for each set: the
     smallest set that the cell's links connect it to, and the number of links that are counted in this cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +281,7 @@ def verify_cells(threshold: float) -> Callable:
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if b - a < 2:
                     continue
-                sets = [shingles(x) for x in t.column(6).slice(a, b - a).to_pylist()]
+                sets = [np.frombuffer(x, np.uint64) for x in t.column(6).slice(a, b - a).to_pylist()]
                 n = np.array([len(x) for x in sets])
                 both = intersections(sets)
                 near = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
@@ -312,7 +320,8 @@ def near_duplicates(
     if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
     texts = texts.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("raw").alias("raw"))
-    cells = cells.join(texts, "t").select(F.xxhash64("root", "bi", "bj").alias("cell"), "ka", "kb", "own", "bi", "bj", "raw", "blocks")
+    packed = texts.mapInArrow(pack_shingles, texts.select("t", F.col("raw").alias("tokens")).schema)
+    cells = cells.join(packed, "t").select(F.xxhash64("root", "bi", "bj").alias("cell"), "ka", "kb", "own", "bi", "bj", "tokens", "blocks")
     whole = cells.repartition("cell").sortWithinPartitions("cell").drop("blocks")
     judged = whole.mapInArrow(verify_cells(threshold), "ka long, kb long, la long, lb long, links long")
     judged = stored(judged, "judged")
