@@ -12,17 +12,30 @@ from tessella.sources.shared import shared_dir
 from tessella.streaming import live
 
 
-def _landed(spark, df, files: int = 3) -> tuple[str, str]:
-    """The rows as files of a folder that a stream reads, and a folder for its output."""
+#: Rows of one file, which are a batch; a table has three files at least, so that state is carried over.
+FILE_ROWS = 1_000_000
+
+
+def _landed(spark, df, order: str | None = None) -> tuple[str, str]:
+    """The rows as files of a folder that a stream reads, and a folder for its output. With an order, the files are ranges
+    of it that land one after the other, as a stream takes the oldest first."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(base)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    df.repartition(files).write.parquet(f"{base}/in")
+    n = max(3, -(-df.count() // FILE_ROWS))
+    if order is None:
+        df.repartition(n).write.parquet(f"{base}/in")
+    else:
+        at = df.approxQuantile(order, [k / n for k in range(1, n)], 0.01)
+        for low, high in zip([None, *at], [*at, None], strict=True):
+            rows = df.filter(F.col(order) > low) if low is not None else df
+            rows = rows.filter(F.col(order) <= high) if high is not None else rows
+            rows.coalesce(1).write.mode("append").parquet(f"{base}/in")
     return base, df.schema
 
 
-def _drain(spark, rows, f, per_trigger: int = 1):
-    base, schema = _landed(spark, rows)
+def _drain(spark, rows, f, per_trigger: int = 1, order: str | None = None):
+    base, schema = _landed(spark, rows, order)
     stream = f(spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{base}/in"))
     return live.drained(stream, f"{base}/out", f"{base}/state")
 
@@ -38,7 +51,7 @@ def stream_dedup(spark, sf):
 def stream_centroids(spark, sf):
     v = table(spark, sf, "embeddings")
     rows = v.select(F.col("label").cast("string").alias("product"), F.col("vec_id").alias("seq"), (F.col("vec_id") % 9 == 0).alias("soft"), F.col("embedding").alias("vector"))
-    return _drain(spark, rows, lambda s: live.assign_leaders("product", s, 0.3), per_trigger=10)
+    return _drain(spark, rows, lambda s: live.assign_leaders("product", s, 0.3), order="seq")
 
 
 @query("stream_alerts", """WITH f AS (SELECT event_type AS product, event_id AS seq, value / 100 AS level, CAST(user_id % 7 AS VARCHAR) AS setting, user_id % 2 = 0 AS strobe FROM events),
@@ -47,7 +60,7 @@ SELECT product, seq, round(d, 6) AS drop, CASE WHEN strobe AND d >= 1.5 THEN 'fl
 def stream_alerts(spark, sf):
     e = table(spark, sf, "events")
     rows = e.select(F.col("event_type").alias("product"), F.col("event_id").alias("seq"), (F.col("value") / 100).alias("level"), (F.col("user_id") % 7).cast("string").alias("setting"), (F.col("user_id") % 2 == 0).alias("strobe"))
-    return _drain(spark, rows, live.alerts, per_trigger=10).withColumn("drop", F.round("drop", 6))
+    return _drain(spark, rows, live.alerts, order="seq").withColumn("drop", F.round("drop", 6))
 
 
 # With a year's allowance nothing is late, so pairs are whole; RAWs alone stay in the state.

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or one that is set here where it is unset, as in tests."""
+    """spark.checkpoint.dir. Where it is unset, one is set in local mode only, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(f"/tmp/spark-tessella-{uuid.uuid4().hex}")
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = found.get()

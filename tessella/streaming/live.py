@@ -74,25 +74,24 @@ def assign_leaders(key: str, frames: DataFrame, join_at: float = PRODUCT_JOIN) -
 
 def alerts(frames: DataFrame) -> DataFrame:
     """(product, seq, drop, alert) of (product, seq, level, setting, strobe): light against the median of up to nine recent
-    frames with the same setting, three at least."""
+    frames with the same setting, three at least. The state of a product and setting is those nine levels, so products that
+    have many frames are spread over their settings."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = dict(zip(*state.get, strict=True)) if state.exists else {}
-        recent = {s: list(v) for s, v in recent.items()}
+        own = list(state.get[0]) if state.exists else []
         out = []
         for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            own = recent.setdefault(r.setting, [])
             drop = None
             if len(own) >= 3 and (m := float(np.median(own))) >= 0.02:
                 drop = float(np.log2(m / max(r.level, 1e-4)))
             alert = None if drop is None else "flash_miss" if r.strobe and drop >= 1.5 else "dark" if drop >= 1 else None
             out.append((k[0], r.seq, drop, alert))
-            recent[r.setting] = [*own, r.level][-RECENT:]
-        state.update((list(recent), list(recent.values())))
+            own = [*own, r.level][-RECENT:]
+        state.update((own,))
         yield pd.DataFrame(out, columns=["product", "seq", "drop", "alert"])
 
-    return frames.groupBy("product").applyInPandasWithState(
-        step, "product string, seq long, drop double, alert string", "settings array<string>, levels array<array<double>>", "append", GroupStateTimeout.NoTimeout
+    return frames.groupBy("product", "setting").applyInPandasWithState(
+        step, "product string, seq long, drop double, alert string", "levels array<double>", "append", GroupStateTimeout.NoTimeout
     )
 
 
