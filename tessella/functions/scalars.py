@@ -209,3 +209,36 @@ def flicker_alias(light_hz: Column | float, fps: Column) -> Column:
     """Frequency at which a light flickers in frames of a rate."""
     light = F.lit(float(light_hz)) if isinstance(light_hz, int | float) else light_hz
     return F.abs(light - F.bround(light / fps, 0) * fps)
+
+
+def byte_size(n: Column) -> Column:
+    """Bytes as text, in GB from a billion on and else in MB; half of the last digit goes to the even one."""
+    big, small = F.format_string("%.1f GB", F.bround(n / 1e9, 1)), F.format_string("%.0f MB", F.bround(n / 1e6, 0))
+    return F.when(n >= 1e9, big).when(n.isNotNull(), small)
+
+
+def folder_id(link: Column) -> Column:
+    """The folder's id of a share link (/folders/<id>, ?id=<id>) or of a bare id of ten characters or more; null for a link to
+    a document or a file, and for anything else."""
+    text, one = F.trim(link), "([A-Za-z0-9_-]+)"
+    host = text.rlike(r"(drive|docs)\.google\.com") & ~text.rlike("/(document|spreadsheets|presentation|file/d)/")
+    found = F.coalesce(*[F.nullif(F.regexp_extract(text, p + one, 1), F.lit("")) for p in ("/folders/", "[?&]id=")])
+    return F.when(text.rlike("^[A-Za-z0-9_-]{10,}$"), text).when(host, found)
+
+
+def json_map(text: Column) -> Column:
+    """Fields of a JSON object as texts; an empty map for null and for anything that isn't an object."""
+    return F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def unnamed_group(name: Column) -> Column:
+    """Whether a cluster still has its given name, such as `group 3`."""
+    return F.coalesce(name.rlike(r"^group \d+$"), F.lit(False))
+
+
+def shot_folder(kind: Column, model: Column, auto: Column, tagged: Column) -> Column:
+    """`model` or `product`: where a frame of a live session goes. A product that was typed holds a frame whose model was only
+    recognised."""
+    has = F.coalesce(F.nullif(model, F.lit("")).isNotNull(), F.lit(False))
+    held = has & F.coalesce(auto, F.lit(False)) & F.coalesce(tagged, F.lit(False))
+    return F.when(~held & (has | F.coalesce(kind == "model", F.lit(False))), "model").otherwise("product")

@@ -99,3 +99,27 @@ def reconcile(listed: DataFrame, flags: DataFrame) -> DataFrame:
     return x.select(
         "id", ((on & ~reject) | pick).alias("listed"), F.when(on & ~reject, "pick").otherwise(F.col("flag")).alias("flag"), (pick & ~on).alias("added"), "seq"
     )
+
+
+def renamed(df: DataFrame, key: str, old, name: str, **also) -> DataFrame:
+    """df with another name in the rows whose key is `old`, and the columns of `also` set to their values there."""
+    here = F.col(key).eqNullSafe(F.lit(old))
+    values = {"name": name.strip(), **also}
+    return df.withColumns({c: F.when(here, F.lit(v)).otherwise(F.col(c)) if c in df.columns else F.when(here, F.lit(v)) for c, v in values.items()})
+
+
+def fill_missing(target: DataFrame, read: DataFrame, key: str = "id") -> DataFrame:
+    """target with the nulls of ok rows filled from a later reading; what is there already stays. A key is read once: of
+    repeated readings the first value of each column counts, in the order of values."""
+    own = [c for c in read.columns if c != key]
+    once = read.groupBy(key).agg(*[F.min(c).alias(f"_{c}") for c in own])
+    ok = F.coalesce(F.col("status") == "ok", F.lit(False))
+    joined = target.join(once, key, "left")
+    return joined.select(*[F.when(ok, F.coalesce(c, f"_{c}")).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in target.columns])
+
+
+def seen_once(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key by `order`; ties go to the smaller row. Minima are aggregated, so no key is gathered."""
+    rest = [c for c in df.columns if c not in (key, order)]
+    first = df.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("_f"))
+    return first.select(*[F.col(key) if c == key else F.col(f"_f.{c}").alias(c) for c in df.columns])

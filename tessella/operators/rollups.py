@@ -94,3 +94,64 @@ def usage_summary(events: DataFrame) -> DataFrame:
     by_feature = events.withColumn("f", feature).filter("f IS NOT NULL").groupBy(F.lit("feature").alias("what"), F.col("f").alias("key")).agg(F.count("*").alias("n"), F.bround(F.sum(seconds), 1).alias("seconds"))
     sessions = events.agg(F.countDistinct("session").alias("n")).select(F.lit("sessions").alias("what"), F.lit("all").alias("key"), "n", F.lit(None).cast("double").alias("seconds"))
     return by_ev.unionByName(by_feature).unionByName(sessions)
+
+
+def pile_summary(pile: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: n, photos, videos and bytes of the picked rows (id, seq) that are still ok. Their ids in order are a sort of
+    the same join by seq."""
+    rows = pile.select("id", "seq").join(items.filter("status = 'ok'"), "id")
+    clips = F.count_if(F.coalesce(F.col("kind") == "video", F.lit(False)))
+    return rows.agg(F.count("*").alias("n"), (F.count("*") - clips).alias("photos"), clips.alias("videos"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+def stale_vectors(items: DataFrame, segments: DataFrame, width: int) -> DataFrame:
+    """One row: how many vectors of ok items, and of the segments (photo_id, vector) of ok items, have another width."""
+    ok = items.filter("status = 'ok'")
+    parts = segments.join(ok.select(F.col("id").alias("photo_id")), "photo_id", "left_semi")
+    return ok.select("vector").unionByName(parts.select("vector")).agg(F.count_if(F.coalesce(F.size("vector") != width, F.lit(False)) & F.col("vector").isNotNull()).alias("stale"))
+
+
+def cull_counts(cull: DataFrame) -> DataFrame:
+    """(what, key, n) of frames (product, pick, reason): all, picked, products, and those left out for each reason."""
+    one = cull.agg(F.count("*").alias("photos"), F.count_if("pick").alias("picked"), F.countDistinct("product").alias("products"))
+    totals = one.unpivot([], ["photos", "picked", "products"], "what", "n").select("what", F.lit("all").alias("key"), "n")
+    left = cull.filter("reason IS NOT NULL AND NOT pick").groupBy(F.lit("rejected").alias("what"), F.col("reason").alias("key")).agg(F.count("*").alias("n"))
+    return totals.unionByName(left)
+
+
+def cull_products(cull: DataFrame) -> DataFrame:
+    """(product, n, picked, rejected, spare, cover) of frames (id, product, variant, angle, pick, reason): the cover is the first by
+    variant, angle and id. Product 0, which holds what matches none, comes last; most frames first."""
+    out = cull.groupBy("product").agg(
+        F.count("*").alias("n"), F.count_if("pick").alias("picked"), F.count_if(F.expr("NOT pick AND reason IS NOT NULL")).alias("rejected"),
+        F.count_if(F.expr("NOT pick AND reason IS NULL")).alias("spare"), F.min_by("id", F.struct("variant", "angle", "id")).alias("cover"),
+    )
+    return out.orderBy(F.col("product") == 0, F.desc("n"), "product")
+
+
+def cull_plan(cull: DataFrame, names: DataFrame, colours: DataFrame, reasons: dict[str, str]) -> DataFrame:
+    """(id, folder, name, colour, angle, status, why) of every frame: picked ones have a folder <product>/<colour>; the others
+    the reason in words. names: (product, name); colours: (product, variant, colour)."""
+    p, v = F.col("product"), F.col("variant")
+    rows = cull.join(names.select("product", "name"), "product", "left").join(colours.select("product", "variant", "colour"), ["product", "variant"], "left")
+    name = F.coalesce("name", F.when(p == 0, "not matched to a product").otherwise(F.concat(F.lit("product "), p.cast("string"))))
+    colour = F.when(p == 0, "").otherwise(F.coalesce("colour", F.concat(F.lit("colour "), v.cast("string"))))
+    words = F.coalesce(*[F.when(F.col("reason") == k, w) for k, w in reasons.items()], F.lit("not needed for the target"))
+    return rows.select("id", "pick", words.alias("words"), name.alias("name"), colour.alias("colour"), F.coalesce(F.concat(F.lit("angle "), F.nullif("angle", F.lit(0)).cast("string")), F.lit("")).alias("angle")).select(
+        "id", F.when(F.col("pick"), F.concat_ws("/", S.safe_segment(F.col("name")), S.safe_segment(F.col("colour")))).alias("folder"), "name", "colour", "angle",
+        F.when(F.col("pick"), "picked").otherwise("left out").alias("status"), F.when(F.col("pick"), "").otherwise(F.col("words")).alias("why"),
+    )
+
+
+def bounds(items: DataFrame) -> DataFrame:
+    """One row: the box around all located ok items, and how many are located and not."""
+    ok = items.filter("status = 'ok'")
+    at = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    box = [f(F.when(at, F.col(c))).alias(n) for n, f, c in (("south", F.min, "lat"), ("west", F.min, "lon"), ("north", F.max, "lat"), ("east", F.max, "lon"))]
+    return ok.agg(*box, F.count_if(at).alias("located"), F.count_if(~at).alias("unlocated"))
+
+
+def score_maps(scores: DataFrame) -> DataFrame:
+    """(photo_id, scores): a map from category to score; of a category's repeated rows the best counts."""
+    best = scores.filter("category IS NOT NULL").groupBy("photo_id", "category").agg(F.max("score").alias("score"))
+    return best.groupBy("photo_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "score"))).alias("scores"))
