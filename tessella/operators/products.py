@@ -5,10 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessella.operators.cluster import average_linkage, cosine_linkage, within_links
+from tessella.operators.vectors import with_similarities
 
 PRODUCT, VARIANT, VIEW = 0.11, 21.0, 0.03
+#: Cosine from which strays join their nearest product.
+ATTACH = 0.8
 #: Hues by name, as Lab.
 COLOURS = {"red": (53, 80, 67), "green": (46, -52, 50), "blue": (32, 79, -108), "yellow": (97, -22, 94), "white": (100, 0, 0), "grey": (54, 0, 0), "black": (0, 0, 0)}
 
@@ -58,3 +62,14 @@ def find(items: DataFrame, shoot: str = "shoot") -> DataFrame:
         return out.assign(id=rows["id"][: len(out)]).query("product >= 0")
 
     return within_links(items.select(shoot, "id", "vector", "colour"), shoot, 1 - PRODUCT - 1e-9, work, "product", "variant int, view int")
+
+
+def attached(strays: DataFrame, home: DataFrame, least: float = ATTACH) -> DataFrame:
+    """(bunch, product, score) of strays (bunch, vector), which move by the bunch: the product whose frames (product, vector) its
+    own are nearest to, by the mean of each one's largest cosine; ties to the smaller product, null if below `least`. Frames
+    without a vector don't count, and a bunch of such frames only has no row. `home` is small, and checked to be so."""
+    sims, found = with_similarities(strays.select("bunch", "vector"), home, "product")
+    means = sims.select("bunch", F.posexplode("sims").alias("i", "s")).groupBy("bunch", "i").agg(F.avg("s").alias("score"))
+    best = means.groupBy("bunch").agg(F.max(F.struct("score", (-F.col("i")).alias("i"))).alias("b"))
+    product = F.get(F.array(*[F.lit(p) for (p,) in found]), -F.col("b.i")) if found else F.lit(None)
+    return best.select("bunch", F.when(F.col("b.score") >= least, product).alias("product"), F.col("b.score").alias("score"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
-from tessella.operators import changes, people, rollups, vectors
+from tessella.operators import changes, people, products, rollups, vectors
 from tessella.plans.catalogue import query
 from tessella.plans.items import table
 from tessella.plans.q_vectors import V_SQL, one, vecs
@@ -201,3 +201,13 @@ def located_bounds(spark, sf):
     at = lambda x: F.when(k % 13 > 0, x.cast("double"))
     rows = table(spark, sf, "events").select(at(F.col("user_id") % 120 - 60).alias("lat"), at(F.col("user_id") * 7 % 360 - 180).alias("lon"), F.when(F.col("event_type") == "view", "error").otherwise("ok").alias("status"))
     return rollups.bounds(rows)
+
+
+@query("attached_strays", f"""{V_SQL}, s AS (SELECT a.id, a.id // 9 AS bunch, h.label AS product, max(list_inner_product(a.vector, h.vector)) AS s FROM v a, v h WHERE a.id % 3 > 0 AND h.id < 200 AND h.id % 3 = 0 GROUP BY 1, 2, 3),
+m AS (SELECT bunch, product, avg(s) AS score FROM s GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY bunch ORDER BY score DESC, product) AS r FROM m)
+SELECT bunch, CASE WHEN score >= 0.15 THEN product END AS product, round(score, 6) AS score FROM b WHERE r = 1""")
+def attached_strays(spark, sf):
+    v = vecs(spark, sf)
+    home = v.filter("id % 3 = 0 AND id < 200").select(F.col("label").alias("product"), "vector")
+    strays = v.filter("id % 3 > 0").select(F.floor(F.col("id") / 9).alias("bunch"), "vector")
+    return products.attached(strays, home, 0.15).withColumn("score", F.round("score", 6))

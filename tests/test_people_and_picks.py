@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
-from tessella.operators import changes, people, rollups, vectors
+from tessella.operators import changes, people, products, rollups, vectors
 
 
 def one(spark, *columns):
@@ -97,3 +97,11 @@ def test_sums_follow_moved_frames(spark):
     models = spark.createDataFrame([("a", 2, [3.0, 1.0]), ("b", 1, [1.0, 1.0])], "id string, n long, total array<double>")
     moves = spark.createDataFrame([("a", "c", [1.0, 0.5]), ("b", "a", [1.0, 1.0]), (None, "c", [2.0, 2.0])], "old string, new string, vector array<double>")
     assert {r.id: (r.n, r.total) for r in vectors.moved_sums(models, moves).collect()} == {"a": (2, [3.0, 1.5]), "c": (2, [3.0, 2.5])}
+
+
+def test_strays_move_by_the_bunch(spark):
+    home = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, None)], "product int, vector array<double>")
+    strays = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.6, 0.8]), ("b", [0.7, 0.7]), ("c", [0.0, 0.9]), ("d", None)], "bunch string, vector array<double>")
+    got = {r.bunch: (r.product, round(r.score, 6)) for r in products.attached(strays, home).collect()}
+    assert got == {"a": (1, 0.8), "b": (None, 0.7), "c": (2, 0.9)}
+    assert products.attached(strays, home.limit(0)).count() == 0
