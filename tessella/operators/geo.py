@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.scalars import haversine_km
+from tessella.functions.scalars import EARTH_KM, haversine_km
 
 CELL_KM, MERGE_KM, NAME_KM, KM_PER_DEGREE = 25.0, 50.0, 100.0, 111.0
 
@@ -44,23 +45,24 @@ def nearest_city(points: DataFrame, cities: DataFrame, max_km: float = NAME_KM,
 
 
 def merged_piles(cells: DataFrame, merge_km: float = MERGE_KM) -> DataFrame:
-    """Cells with the same place name merged, largest first, into the first pile within merge_km of its mean so far.
+    """(name, country, n, lat, lon): cells of the same place in piles. Cells are taken by size; one belongs to the earliest
+    pile whose mean by then lies within merge_km, or starts one. Cells without a name stay as they are.
 
-    Cells (already sums) of one place are merged in one task; places are dealt out.
+    Cells are sums over a grid, so a place within reach of one name has few; each place is one group.
     """
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        piles: list[dict] = []
-        for r in p.sort_values(["n", "lat", "lon"], ascending=[False, True, True]).to_dict("records"):
-            for q in piles:
-                if r["name"] is not None and km_between(q["lat"], q["lon"], r["lat"], r["lon"]) <= merge_km:
-                    n = q["n"] + r["n"]
-                    q["lat"], q["lon"] = (q["lat"] * q["n"] + r["lat"] * r["n"]) / n, (q["lon"] * q["n"] + r["lon"] * r["n"]) / n
-                    q["n"] = n
-                    break
-            else:
-                piles.append({k: r[k] for k in ("name", "country", "n", "lat", "lon")})
-        return pd.DataFrame(piles, columns=["name", "country", "n", "lat", "lon"])
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["n", "lat", "lon"], ascending=[False, True, True])
+        cells = p[["n", "lat", "lon"]].to_numpy(float)
+        sums, used = np.zeros((len(cells), 3)), 0  # rows, and latitudes and longitudes weighted by them
+        for n, lat, lon in cells:
+            means = sums[:used, 1:] / sums[:used, :1]
+            within = np.flatnonzero(km_between(means[:, 0], means[:, 1], lat, lon) <= merge_km)
+            at = within[0] if len(within) else used
+            used = max(used, at + 1)
+            sums[at] += n, n * lat, n * lon
+        n = sums[:used, 0]
+        return pd.DataFrame({"name": key[0], "country": key[1], "n": n.astype(np.int64), "lat": sums[:used, 1] / n, "lon": sums[:used, 2] / n})
 
     schema = "name string, country string, n long, lat double, lon double"
     named = cells.filter("name IS NOT NULL").select("name", "country", "n", "lat", "lon").groupBy("name", "country").applyInPandas(run, schema)
@@ -68,10 +70,6 @@ def merged_piles(cells: DataFrame, merge_km: float = MERGE_KM) -> DataFrame:
     return named.unionByName(rest).withColumns({"lat": F.bround("lat", 5), "lon": F.bround("lon", 5)})
 
 
-def km_between(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    from math import asin, cos, radians, sin, sqrt
-
-    from tessella.functions.scalars import EARTH_KM
-
-    a = sin(radians(lat2 - lat1) / 2) ** 2 + cos(radians(lat1)) * cos(radians(lat2)) * sin(radians(lon2 - lon1) / 2) ** 2
-    return 2 * EARTH_KM * asin(sqrt(min(1.0, a)))
+def km_between(lat1: np.ndarray, lon1: np.ndarray, lat2: float, lon2: float) -> np.ndarray:
+    a = np.sin(np.radians(lat2 - lat1) / 2) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, a)))
