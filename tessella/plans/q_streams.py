@@ -70,3 +70,9 @@ def stream_pair(spark, sf):
     e = table(spark, sf, "events")
     rows = e.select(F.col("ts").cast("timestamp").alias("at"), F.col("user_id").cast("string").alias("dir"), F.lit("x").alias("stem"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("rel"), (F.col("event_id") % 2 == 0).alias("is_raw"))
     return _drain(spark, rows, lambda s: live.paired(s, 3000, "3650 days").drop("at"), per_trigger=2)
+
+
+@query("stream_delivered", "SELECT event_id, user_id FROM events")
+def stream_delivered(spark, sf):
+    base, schema = _landed(spark, table(spark, sf, "events").select("event_id", "user_id"))
+    return live.delivered(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), f"{base}/out", f"{base}/state")

@@ -30,8 +30,11 @@ SAMPLE_BYTES = 200
 def listed(spark: SparkSession, root: str) -> DataFrame:
     """(rel, size, mtime) of every file under a folder; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), F.lit("^" + _quoted(root) + "/?"), F.lit(""))
-    return files.select(rel.alias("rel"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").cast("double").alias("mtime"))
+    return files.select(_rel(root).alias("rel"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").cast("double").alias("mtime"))
+
+
+def _rel(root: str) -> Column:
+    return F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), F.lit("^" + _quoted(root) + "/?"), F.lit(""))
 
 
 def _quoted(root: str) -> str:
@@ -40,21 +43,39 @@ def _quoted(root: str) -> str:
     return re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/").replace("\\", "\\\\").replace(".", r"\.").replace("+", r"\+")
 
 
-def skip_reason(rel: Column, size: Column) -> Column:
-    """Why a file is no item; null for items."""
+def off_disk(rel: Column) -> Column:
+    """Whether a path from the root of a whole disk is left out: all but people's folders and in those the library; of a
+    photo library all but its originals."""
+    people = rel.startswith("Users/") & ~rel.rlike("^Users/[^/]+/Library/")
+    return ~people | rel.rlike("(?i)[.]photoslibrary/(?!originals/)")
+
+
+def skip_reason(rel: Column, size: Column, disk: bool = False) -> Column:
+    """Why a file is no item; null for items. disk: paths are from the root of a whole disk."""
     hidden = rel.rlike(r"(^|/)\.[^/]")
-    pruned = rel.rlike(f"(^|/)({'|'.join(PRUNED)})/") | F.lower(rel).rlike(f"({'|'.join(x.replace('.', '[.]') for x in PACKAGES)})/")
+    packages = [x for x in PACKAGES if not (disk and x == ".photoslibrary")]
+    pruned = rel.rlike(f"(^|/)({'|'.join(PRUNED)})/") | F.lower(rel).rlike(f"({'|'.join(x.replace('.', '[.]') for x in packages)})/")
+    pruned = pruned | off_disk(rel) if disk else pruned
     known = S.suffix(rel).isin(*STANDARD, *RAW, *VIDEO)
     return F.when(hidden, "hidden").when(pruned, "not looked into").when(~known, "another kind of file").when(size == 0, "empty")
 
 
-def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(items, skipped): files with their RAW sibling; and for each reason the number left out with three examples."""
-    files = listed(spark, root).withColumn("why", skip_reason(F.col("rel"), F.col("size")))
+def scan(spark: SparkSession, root: str, disk: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(items, skipped): files with their RAW sibling; and for each reason the number left out with three examples. Of files
+    named .mts, which is not only a clip's suffix, the first bytes have to be those of a transport stream. Spark lists no empty files, so these are in neither."""
+    files = listed(spark, root).withColumn("why", skip_reason(F.col("rel"), F.col("size"), disk))
+    files = files.join(sniffed(spark, root), "rel", "left")
+    files = files.withColumn("why", F.coalesce("why", F.when(~F.col("clip"), "not a clip"))).drop("clip")
     own = files.filter("why IS NULL").drop("why").withColumns({"is_raw": S.suffix(F.col("rel")).isin(*RAW), "is_video": S.suffix(F.col("rel")).isin(*VIDEO)})
     return pair_raw(own), skipped(files.filter("why IS NOT NULL"))
 
 
+def sniffed(spark: SparkSession, root: str) -> DataFrame:
+    """(rel, clip) of files named .mts, by their first bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][tT][sS]").load(root).select("path", "length")
+    return read_ends(files, SAMPLE_BYTES).select(_rel(root).alias("rel"), transport_stream(F.col("head")).alias("clip"))
+
+
 def skipped(files: DataFrame) -> DataFrame:
     """(why, n, examples): the examples are the first three by path; only those leave a task."""
     from pyspark.sql.window import Window
@@ -74,8 +95,7 @@ def transport_stream(content: Column) -> Column:
 def content_keys(spark: SparkSession, root: str) -> DataFrame:
     """(rel, qhash) by size, first and last bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), F.lit("^" + _quoted(root) + "/?"), F.lit(""))
-    return read_ends(files).select(rel.alias("rel"), F.sha1(F.concat(F.col("length").cast("string").cast("binary"), "head", "tail")).alias("qhash"))
+    return read_ends(files).select(_rel(root).alias("rel"), F.sha1(F.concat(F.col("length").cast("string").cast("binary"), "head", "tail")).alias("qhash"))
 
 
 def read_ends(files: DataFrame, chunk: int = 65536) -> DataFrame:
@@ -101,10 +121,31 @@ def read_ends(files: DataFrame, chunk: int = 65536) -> DataFrame:
     return files.select("path", "length").mapInArrow(run, "path string, length long, head binary, tail binary")
 
 
-def recent_folders(files: DataFrame, now: float, within: float = 60.0, n: int = 3) -> DataFrame:
-    """Folders with a file written in the last seconds, newest first."""
-    new = files.filter(F.col("mtime") >= now - within).groupBy(S.parent(F.col("rel")).alias("dir"))
-    return new.agg(F.count("*").alias("n"), F.max("mtime").alias("newest")).orderBy(F.desc("newest"), "dir").limit(n)
+def recent_folders(files: DataFrame, now: float, within: float = 60.0, n: int = 3, depth: int = 4, last: str | None = None) -> DataFrame:
+    """Folders, at most so deep, with an image written in the last seconds: the one used last first, then newest first. A
+    camera's clock may be some seconds ahead; empty files don't count."""
+    rel, t = F.col("rel"), F.col("mtime")
+    image = S.suffix(rel).isin(*STANDARD, *RAW) & (F.size(F.split(rel, "/")) <= depth + 1)
+    new = files.filter(image & (t >= now - within) & (t <= now + 5))
+    new = new.filter("size > 0") if "size" in files.columns else new
+    found = new.groupBy(S.parent(rel).alias("dir")).agg(F.count("*").alias("n"), F.max("mtime").alias("newest"))
+    return found.orderBy(*([F.col("dir") != last] if last is not None else []), F.desc("newest"), "dir").limit(n)
+
+
+def photo_count(files: DataFrame) -> DataFrame:
+    """One row, n: images by folder and name, so that a RAW and its standard file are one."""
+    own = files.filter(S.suffix(F.col("rel")).isin(*STANDARD, *RAW))
+    return own.agg(F.countDistinct(S.parent(F.col("rel")), F.lower(S.stem(F.col("rel")))).alias("n"))
+
+
+def cities(spark: SparkSession, path: str) -> DataFrame:
+    """(name, country, lat, lon) of a JSON city list {scale, places: [[name, country, lat, lon]]} with scaled numbers; a scale of
+    none or 0 is 1. Places of another shape are left out."""
+    lists = spark.read.schema("scale double, places array<array<string>>").option("multiLine", "true").json(path)
+    scale = F.coalesce(F.nullif("scale", F.lit(0.0)), F.lit(1.0)).alias("scale")
+    at = lambda i: F.get("p", F.lit(i))
+    rows = lists.select(scale, F.explode("places").alias("p")).select(at(0).alias("name"), at(1).alias("country"), *[(at(i).try_cast("double") / F.col("scale")).alias(n) for i, n in ((2, "lat"), (3, "lon"))])
+    return rows.filter("lat IS NOT NULL AND lon IS NOT NULL")
 
 
 def usage_events(spark: SparkSession, *paths: str) -> DataFrame:
