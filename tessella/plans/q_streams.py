@@ -6,31 +6,30 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessella.functions import scalars as S
 from tessella.plans.catalogue import query
-from tessella.plans.items import table
+from tessella.plans.items import items, table
 from tessella.sources.shared import shared_dir
-from tessella.streaming import live
-
+from tessella.streaming import live, runs
 
 #: Rows of one file, which are a batch; a table has three files at least, so that state is carried over.
 FILE_ROWS = 1_000_000
 
 
 def _landed(spark, df, order: str | None = None) -> tuple[str, str]:
-    """The rows as files of a folder that a stream reads, and a folder for its output. With an order, the files are ranges
-    of it that land one after the other, as a stream takes the oldest first."""
+    """The rows as files of a folder that a stream reads, and a folder for its output. With an order, the files are ranges of it
+    that land one after the other: written at once, then stamped with times in their order, as a stream takes the oldest first."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(base)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(hadoop)
     n = max(3, -(-df.count() // FILE_ROWS))
-    if order is None:
-        df.repartition(n).write.parquet(f"{base}/in")
-    else:
-        at = df.approxQuantile(order, [k / n for k in range(1, n)], 0.01)
-        for low, high in zip([None, *at], [*at, None], strict=True):
-            rows = df.filter(F.col(order) > low) if low is not None else df
-            rows = rows.filter(F.col(order) <= high) if high is not None else rows
-            rows.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    (df.repartition(n) if order is None else df.repartitionByRange(n, order)).write.parquet(f"{base}/in")
+    if order is not None:
+        # Names of a range's files begin with its number, padded; a listing holds names only.
+        files = sorted((f for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/in")) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+        for i, f in enumerate(files):
+            fs.setTimes(f.getPath(), files[0].getModificationTime() + 1000 * i, -1)
     return base, df.schema
 
 
@@ -76,3 +75,18 @@ def stream_pair(spark, sf):
 def stream_delivered(spark, sf):
     base, schema = _landed(spark, table(spark, sf, "events").select("event_id", "user_id"))
     return live.delivered(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), f"{base}/out", f"{base}/state")
+
+
+@query("stream_runs")
+def stream_runs(spark, sf):
+    """A shoot for each user, whose frames come in the order of time, on a clock that makes neighbours of them."""
+    rows = items(spark, sf)
+    bright = S.brightness(F.col("fnumber"), F.col("exposure_s"), F.col("iso"), F.col("ev_bias"))
+    ev = S.ev100(F.col("fnumber"), F.col("exposure_s"), F.col("iso"))
+    none = F.lit(None).cast("array<double>")
+    rows = rows.select(
+        F.col("dir").alias("shoot"), F.col("frame_no").alias("seq"), "id", "dir", "rel", F.coalesce("kind", F.lit("photo")).alias("kind"), (F.col("t") / 40000.0).alias("t"),
+        "camera", "frame_no", ev.alias("ev"), bright.alias("bright"), "exposure_s", F.lit(None).cast("int").alias("exp_mode"), none.alias("vector"), none.alias("field"),
+    )
+    with live.rich_state(spark):
+        return runs.settled(_drain(spark, rows, runs.live_runs, order="seq"))

@@ -6,6 +6,7 @@ Nothing is dropped for being late: there is no event-time watermark, but where a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -106,6 +107,21 @@ def tagged(frames: DataFrame, tags: DataFrame) -> DataFrame:
     return frames.join(F.broadcast(spans), inside, "left").drop("_from", "_to")
 
 
+#: Operators with several kinds of state need this store; it is asked for while such a stream starts.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@contextmanager
+def rich_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB."""
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE[0], before) if before else spark.conf.unset(STORE[0])
+
+
 def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Everything that is there now, written to a table; a restart goes on from the checkpoint."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
