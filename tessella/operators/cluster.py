@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -66,9 +66,12 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"no fixed point in {most_rounds} rounds")
 
 
-def linked_groups(vectors: DataFrame, min_sim: float, same: DataFrame | None = None) -> DataFrame:
-    """Clusters of the similarity graph together with decisions (a, b) that two rows are the same."""
-    edges = eps_edges(vectors, min_sim).select("a", "b")
+def linked_groups(vectors: DataFrame, min_sim: float, same: DataFrame | None = None, join: Callable = eps_edges) -> DataFrame:
+    """Clusters of the similarity graph together with decisions (a, b) that two rows are the same.
+
+    join: what finds the pairs at a cosine or more; eps_edges() compares all, index.near_links() those that an index lets meet.
+    """
+    edges = join(vectors, min_sim).select("a", "b")
     if same is not None:
         edges = edges.unionByName(same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     return components(edges)

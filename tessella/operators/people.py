@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,8 +11,11 @@ from pyspark.sql.window import Window
 
 from tessella.functions.scalars import safe_segment
 from tessella.operators.cluster import components, eps_edges, kept_names
+from tessella.operators.merges import merged_people
 
 EDGE, EYE_SHARP, EPS = 10, 40.0, 0.32
+#: Cosine of centroids from which groups are merged without being asked; from 1 on none are.
+MERGE_AT = 1.0
 #: Faces from which a picture is one of a group.
 GROUP_FACES = 3
 
@@ -20,14 +25,21 @@ def good_faces(faces: DataFrame) -> DataFrame:
     return faces.filter((F.least("w", "h") >= EDGE) & (F.coalesce("eye_sharp", F.lit(0.0)) >= EYE_SHARP))
 
 
-def grouped(faces: DataFrame, eps: float = EPS, same: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+def grouped(
+    faces: DataFrame, eps: float = EPS, same: DataFrame | None = None, names: DataFrame | None = None, decisions: DataFrame | None = None,
+    merge_at: float = MERGE_AT, join: Callable = eps_edges,
+) -> DataFrame:
     """(id, root, name) of faces (id, w, h, eye_sharp, vector): groups of the graph of cosine distances up to eps, with
-    decisions (a, b) that faces are the same as edges too. A group takes the commonest old name (id, name) of its faces; a
-    name that won no group takes its faces back out into a group of its own."""
-    edges = eps_edges(good_faces(faces).select("id", "vector"), 1 - eps).select("a", "b")
+    decisions (a, b) that faces are the same as edges too. With decisions (a, b, decision: same or different), groups are merged by
+    them, and greedily from a cosine of centroids on, where that is under 1. A group takes the commonest old name (id, name) of its
+    faces; a name that won no group takes its faces back out into a group of its own. join: as in cluster.linked_groups()."""
+    good = good_faces(faces).select("id", "vector")
+    edges = join(good, 1 - eps).select("a", "b")
     if same is not None:
         edges = edges.unionByName(same.select("a", "b"))
     groups = components(edges)
+    if decisions is not None:
+        groups = merged_people(groups, good, decisions, merge_at)
     if names is None:
         return groups.withColumn("name", F.lit(None).cast("string"))
     won = kept_names(groups, names)

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tessella.plans import q_items, q_people, q_plans, q_rows, q_status, q_streams, q_vectors  # noqa: F401
+    from tessella.plans import q_groups, q_items, q_people, q_plans, q_rows, q_status, q_streams, q_vectors  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
