@@ -10,7 +10,7 @@ from tessella.functions import scalars as S
 from tessella.plans.catalogue import query
 from tessella.plans.items import items, table
 from tessella.sources.shared import shared_dir
-from tessella.streaming import live, runs
+from tessella.streaming import live, runs, tags
 
 #: Rows of one file, which are a batch; a table has three files at least, so that state is carried over.
 FILE_ROWS = 1_000_000
@@ -90,3 +90,27 @@ def stream_runs(spark, sf):
     )
     with live.rich_state(spark):
         return runs.settled(_drain(spark, rows, runs.live_runs, order="seq"))
+
+
+# Files land in no order of time, so most tags and half of the standard files are late.
+@query("stream_tagged", """WITH e AS (SELECT event_id, ts, event_type, CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS k FROM events),
+t AS (SELECT CONCAT('s', event_id % 20) AS shoot, ts AS moment, event_id AS seq, CASE WHEN k >= 2 THEN event_type END AS product FROM e WHERE k < 15),
+f AS (SELECT CONCAT('s', event_id // 2 % 20) AS shoot, event_id // 2 AS stem, ts AS moment, event_id AS id, event_id % 2 = 0 AS is_raw FROM e WHERE k >= 15),
+r AS (SELECT shoot, stem, min(moment) AS moment, arg_min(id, moment) AS id, bool_or(is_raw) AS has_raw, bool_or(NOT is_raw) AS has_std FROM f GROUP BY 1, 2)
+SELECT r.shoot, CAST(stem AS VARCHAR) AS stem, id, CONCAT(stem, CASE WHEN has_std THEN '.jpg' ELSE '.arw' END) AS rel, CASE WHEN has_std AND has_raw THEN CONCAT(stem, '.arw') END AS sibling, product
+FROM r ASOF LEFT JOIN t ON r.shoot = t.shoot AND r.moment >= t.moment""")
+def stream_tagged(spark, sf):
+    k, pair = F.regexp_extract("props", r"(\d+)", 1).cast("int"), F.expr("event_id div 2")
+    is_tag, is_raw = k < 15, F.col("event_id") % 2 == 0
+    stem = pair.cast("string")
+    rows = table(spark, sf, "events").select(
+        F.concat(F.lit("s"), F.when(is_tag, F.col("event_id") % 20).otherwise(pair % 20).cast("string")).alias("shoot"), F.col("ts").cast("timestamp").alias("at"),
+        F.col("event_id").alias("seq"), is_tag.alias("is_tag"), F.when(k >= 2, F.col("event_type")).alias("product"), F.lit("d").alias("dir"), stem.alias("stem"),
+        F.concat(stem, F.when(is_raw, ".arw").otherwise(".jpg")).alias("rel"), is_raw.alias("is_raw"), F.col("event_id").alias("id"),
+    )
+    base, schema = _landed(spark, rows)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    frames = stream.filter("NOT is_tag").select("shoot", "at", "dir", "stem", "rel", "is_raw", "id")
+    versions = tags.tagged(frames, stream.filter("is_tag").select("shoot", "at", "seq", "product"), late="3650 days", lanes=4)
+    with live.rich_state(spark):
+        return tags.latest(live.delivered(versions, f"{base}/out", f"{base}/state")).select("shoot", "stem", "id", "rel", "sibling", "product")

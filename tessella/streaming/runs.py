@@ -184,7 +184,7 @@ class Runs(StatefulProcessor):
         self.window = handle.getListState("window", HELD)
         self.sets = handle.getMapState("sets", "kind string, set_id long", "n long, one long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows)).sort_values(["seq", "id"])  # of one trigger
         integers = [i for i, c in enumerate(HELD.split(", ")) if c.split()[1] in ("long", "int")]
         typed = lambda v: [int(x) if i in integers and x is not None else x for i, x in enumerate(map(plainly, v))]
