@@ -10,7 +10,7 @@ from tessella.functions import scalars as S
 from tessella.plans.catalogue import query
 from tessella.plans.items import items, table
 from tessella.sources.shared import shared_dir
-from tessella.streaming import live, runs, tags
+from tessella.streaming import live, models, runs, tags
 
 #: Rows of one file, which are a batch; a table has three files at least, so that state is carried over.
 FILE_ROWS = 1_000_000
@@ -114,3 +114,16 @@ def stream_tagged(spark, sf):
     versions = tags.tagged(frames, stream.filter("is_tag").select("shoot", "at", "seq", "product"), late="3650 days", lanes=4)
     with live.rich_state(spark):
         return tags.latest(live.delivered(versions, f"{base}/out", f"{base}/state")).select("shoot", "stem", "id", "rel", "sibling", "product")
+
+
+@query("stream_models")
+def stream_models(spark, sf):
+    """A hundred shoots with five people each; some names are typed, some faces soft."""
+    at = F.timestamp_seconds(F.col("vec_id"))
+    face = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x + F.when(i == F.col("vec_id") * 7 % 5, 1.0).otherwise(0.0))
+    rows = table(spark, sf, "embeddings").select(
+        (F.col("vec_id") % 100).cast("string").alias("shoot"), F.col("vec_id").alias("seq"), F.col("vec_id").alias("id"), at.alias("at"),
+        F.when(F.col("vec_id") % 97 == 0, F.concat(F.lit("P"), (F.col("vec_id") % 5).cast("string"))).alias("typed"), face.alias("face"), (F.col("vec_id") % 9 == 0).alias("soft"),
+    )
+    with live.rich_state(spark):
+        return models.told(_drain(spark, rows, models.cast, order="seq"))
