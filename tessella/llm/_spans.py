@@ -49,12 +49,12 @@ def folded(items: Column, zero: int, step: Callable[[Column, Column], Column], e
     return let(items, cut_up)
 
 
-def matches(text: Column, regex: str) -> Column:
+def matches(text: Column, regex: str | Column) -> Column:
     """The leftmost, non-overlapping matches."""
     return F.regexp_extract_all(text, F.lit(regex), F.lit(0))
 
 
-def located(text: Column, found: Column, regex: str) -> Column:
+def located(text: Column, found: Column, regex: str | Column) -> Column:
     """Struct(start, end, value) of the matches found: each starts where all pieces and matches before it end."""
 
     def placed(found: Column) -> Column:

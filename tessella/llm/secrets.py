@@ -72,13 +72,18 @@ ALLOWED = [
 ENTROPY_PLACE = 4
 
 
-def marked_windows(text: Column, weights: Column, c: CharClass) -> Column:
-    """A digit for each window of a piece of a run: 1 where it is random. text: a field of a lambda's variable.
+def as_column(c: CharClass) -> Column:
+    kinds = F.array(*[F.lit(n) for n in c.needs]).cast("array<string>")
+    return F.struct(F.lit(c.alphabet).alias("alphabet"), F.lit(c.run).alias("run"), F.lit(c.window).alias("window"), F.lit(c.bits).alias("bits"), kinds.alias("needs"))
+
+
+def marked_windows(text: Column, weights: Column, c: Column) -> Column:
+    """A digit for each window of a piece of a run: 1 where it is random. text, c: fields of a lambda's variable.
 
     A count is a character of the table `counts`, at the place that the counted character has in the alphabet.
     """
-    w = c.window
-    place = lambda ch: F.position(ch, F.lit(c.alphabet))
+    w = c["window"]
+    place = lambda ch: F.position(ch, c["alphabet"])
     count = lambda state, ch: F.ascii(F.substring(state["counts"], place(ch), F.lit(1))) - 48
     put = lambda state, ch, k: F.overlay(state["counts"], F.char(k + 48), place(ch), F.lit(1))
     weight = lambda k: F.element_at(weights, k + 1)
@@ -90,13 +95,13 @@ def marked_windows(text: Column, weights: Column, c: CharClass) -> Column:
         ))
 
     def judged(state: Column) -> Column:
-        random = F.lit(log2(w)) - state["sum"] / w >= c.bits - 1e-9
+        random = F.log2(w) - state["sum"] / w >= c["bits"] - 1e-9
         return F.struct(state["counts"].alias("counts"), state["sum"].alias("sum"), F.concat(state["hot"], F.when(random, "1").otherwise("0")).alias("hot"))
 
     chars = lambda from_, n: F.split(F.substring(text, from_, n), "")
-    empty = F.struct(F.lit("0" * len(c.alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit("").alias("hot"))
-    first = F.aggregate(chars(F.lit(1), F.lit(w)), empty, lambda state, ch: changed(state, ch, 1), judged)
-    steps = F.arrays_zip(chars(F.lit(1), F.length(text) - w).alias("gone"), chars(F.lit(w + 1), F.length(text)).alias("come"))
+    empty = F.struct(F.repeat(F.lit("0"), F.length(c["alphabet"])).alias("counts"), F.lit(0.0).alias("sum"), F.lit("").alias("hot"))
+    first = F.aggregate(chars(F.lit(1), w), empty, lambda state, ch: changed(state, ch, 1), judged)
+    steps = F.arrays_zip(chars(F.lit(1), F.length(text) - w).alias("gone"), chars(w + 1, F.length(text)).alias("come"))
     steps = F.when(F.length(text) > w, steps).otherwise(F.array().cast("array<struct<gone: string, come: string>>"))
     slide = lambda state, ch: let(changed(state, ch["gone"], -1), lambda s: let(changed(s, ch["come"], 1), judged))
     return F.aggregate(steps, first, slide, lambda state: state["hot"])
@@ -106,29 +111,32 @@ def random_ranges(rows: DataFrame) -> DataFrame:
     """rows with `random`: ranges of the text that random windows of any class cover. rows has `candidates`, placed in the text.
 
     A run is cut into pieces that overlap by a window less one character: every window is in one piece, and no piece's
-    state grows with the run. Each step is a column of its own, so that no expression is nested too deep to be resolved.
+    state grows with the run. The classes are an array of literals, so that one expression serves them all; each step is a
+    column of its own, so that none is nested too deep to be resolved.
     """
-    kept = rows.columns
-    for i, c in enumerate(CLASSES):
-        w = c.window
-        placed = lambda at, r: F.struct((at + r["start"]).alias("start"), r["value"].alias("value"))
-        holds = lambda r, c=c: reduce(lambda a, b: a & b, [r["value"].rlike(x) for x in c.needs], F.lit(True))
-        own = F.transform("candidates", lambda x: F.transform(located(x["value"], matches(x["value"], c.run), c.run), lambda r: placed(x["start"], r)))
-        rows = rows.withColumn("runs", F.flatten(own)).withColumn("runs", F.filter("runs", lambda r: holds(r)))
-
-        def pieces(r: Column, w: int = w) -> Column:
-            starts = F.sequence(F.lit(0), F.floor((F.length(r["value"]) - w) / PIECE).cast("int"))
-            return F.transform(starts, lambda k: F.struct((r["start"] + k * PIECE).alias("start"), F.substring(r["value"], k * PIECE + 1, F.lit(PIECE + w - 1)).alias("text")))
-
-        weights = F.array(*[F.lit(k * log2(k) if k else 0.0) for k in range(w + 1)])
-        rows = rows.withColumn("pieces", F.flatten(F.transform("runs", lambda r: pieces(r)))).drop("runs")
-        hot = let(weights, lambda v: F.transform("pieces", lambda p: F.struct(p["start"].alias("start"), marked_windows(p["text"], v, c).alias("hot"))))
-        rows = rows.withColumn("marked", F.when(F.size("pieces") > 0, hot)).drop("pieces")
-        ranges = lambda m: F.transform(
-            located(m["hot"], matches(m["hot"], "1+"), "1+"), lambda h: F.struct((m["start"] + h["start"]).alias("start"), (m["start"] + h["end"] + (w - 1)).alias("end"))
-        )
-        rows = rows.withColumn(f"ranges{i}", F.coalesce(F.flatten(F.transform("marked", lambda m: ranges(m))), F.array().cast(RANGES))).drop("marked")
-    rows = rows.withColumn("random", F.concat(*[F.col(f"ranges{i}") for i in range(len(CLASSES))]))
+    kept, some = rows.columns, F.size("candidates") > 0
+    classes = F.array(*[as_column(c) for c in CLASSES])
+
+    def runs_of(c: Column) -> Column:
+        own = F.transform("candidates", lambda x: F.transform(
+            located(x["value"], matches(x["value"], c["run"]), c["run"]), lambda r: F.struct((x["start"] + r["start"]).alias("start"), r["value"].alias("value"), c.alias("c"))
+        ))
+        return F.filter(F.flatten(own), lambda r: F.forall(c["needs"], lambda n: F.rlike(r["value"], n)))
+
+    def pieces(r: Column) -> Column:
+        w = r["c"]["window"]
+        starts = F.sequence(F.lit(0), F.floor((F.length(r["value"]) - w) / PIECE).cast("int"))
+        return F.transform(starts, lambda k: F.struct((r["start"] + k * PIECE).alias("start"), F.substring(r["value"], k * PIECE + 1, w + (PIECE - 1)).alias("text"), r["c"].alias("c")))
+
+    rows = rows.withColumn("runs", F.when(some, F.flatten(F.transform(classes, runs_of))))
+    rows = rows.withColumn("pieces", F.flatten(F.transform("runs", pieces))).drop("runs")
+    weights = F.array(*[F.lit(k * log2(k) if k else 0.0) for k in range(max(c.window for c in CLASSES) + 1)])
+    marked = lambda v: F.transform("pieces", lambda p: F.struct(p["start"].alias("start"), p["c"]["window"].alias("window"), marked_windows(p["text"], v, p["c"]).alias("hot")))
+    rows = rows.withColumn("marked", F.when(F.size("pieces") > 0, let(weights, marked))).drop("pieces")
+    covered = lambda m: F.transform(
+        located(m["hot"], matches(m["hot"], "1+"), "1+"), lambda h: F.struct((m["start"] + h["start"]).alias("start"), (m["start"] + h["end"] + (m["window"] - 1)).alias("end"))
+    )
+    rows = rows.withColumn("random", F.coalesce(F.flatten(F.transform("marked", covered)), F.array().cast(RANGES)))
     return rows.select(*kept, merged(F.col("random")).alias("random"))
 
 
