@@ -87,11 +87,18 @@ def row_key(*columns: Column) -> Column:
 
 #: A key is hot if more than one in HOT_SHARE of the rows have it, so at most HOT_SHARE keys are; their rows go to SALTS tasks.
 HOT_SHARE, SALTS = 256, 64
+#: No key of so many rows is hot.
+LEAST_HOT = 1000
 
 
 def hot_keys(counts: DataFrame, on: list[str], n: str, total: int, share: int = HOT_SHARE) -> DataFrame:
     """Of (on, n), the keys with more than 1 / share of `total` rows. They are `share` at most, which bounds a broadcast."""
-    return counts.filter(F.col(n) > max(total / share, 1000)).select(*on)
+    return counts.filter(F.col(n) > max(total / share, LEAST_HOT)).select(*on)
+
+
+def may_be_hot(total: int) -> bool:
+    """Whether any key of so many rows can be hot, by hot_keys()."""
+    return total > LEAST_HOT
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, how: str = "inner", salts: int = SALTS) -> DataFrame:

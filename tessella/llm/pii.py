@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import hot_keys, row_key, salted_join, stored, table
+from tessella.llm._common import HOT_SHARE, hot_keys, may_be_hot, row_key, salted_join, stored, table
 from tessella.llm._spans import TAGGED, between, clear_of, count_of, cut, folded, let, located, matches, merged, tagged, written
 
 # In each pattern a run of characters is tried from its start or from the last match's end alone: no later start in it
@@ -104,13 +104,19 @@ def judged(texts: DataFrame, terms: DataFrame, docs: DataFrame, total: int, gene
     """
     n = F.lit(float(max(total, 1)))
     n_texts = texts.count()
+
+    def joined(left: DataFrame, right: DataFrame, on: list[str], rows: str, share: int = HOT_SHARE, columns: list[str] | None = None) -> DataFrame[DataFrame, DataFrame]:
+        """left joined to columns of right, whose `rows` says how many rows of left have a key: right is written if it is read twice."""
+        if not may_be_hot(n_texts):
+            return left.join(right.select(*(columns or right.columns)), on)
+        right = stored(right, "pii-counts")
+        return salted_join(left, right.select(*(columns or right.columns)), on, hot_keys(right, on, rows, n_texts, share))
     held = texts.select("key", "weight", F.explode(F.array_distinct(F.transform("base", entity))).alias("name")).select("key", "weight", row_key(F.col("name")).alias("e"))
     held = stored(held, "pii-entities")
     counts = held.groupBy("e").agg(
         F.sum("weight").alias("n_e"), F.count("*").alias("n_texts"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("mix"),
     )
-    counts = stored(counts, "pii-entity-counts")
-    held = salted_join(held, counts, ["e"], hot_keys(counts, ["e"], "n_texts", n_texts))
+    held = joined(held, counts, ["e"], "n_texts")
     # Entities with the same texts are one: named by their texts, which their number and two hashes of the texts give.
     held = held.select("key", "n_e", "n_texts", F.struct("n_e", "n_texts", "sum", "mix").alias("c"))
     held = stored(held, "pii-held")
@@ -118,13 +124,15 @@ def judged(texts: DataFrame, terms: DataFrame, docs: DataFrame, total: int, gene
     # Terms of all documents; those of many documents are spread, as many texts with entities hold them.
     words = docs.select(F.explode(terms_of(F.lower("x"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     known = terms.groupBy("term").agg(F.sum("weight").alias("n_own"), F.count("*").alias("n_texts")).join(words, "term")
-    known = stored(known, "pii-terms")
-    own = salted_join(terms.select("key", "weight", "term"), known.select("term", "n_t"), ["term"], hot_keys(known, ["term"], "n_texts", n_texts, 64)).join(fewest, "key")
+    own = joined(terms.select("key", "weight", "term"), known, ["term"], "n_texts", 64, ["term", "n_t"])
+    own = own.join(fewest, "key")
     reach = lambda x, at: x >= at - 1e-9
     own = own.withColumn("least", disclosure(n, F.col("weight"), F.col("n_t"), F.col("low"), smooth))
     own = stored(own, "pii-own")
     plain = own.filter(reach(F.col("least"), generalise)).select("key", "term", reach(F.col("least"), remove).alias("removed"))
     several = held.filter("n_texts > 1").select("key", "c", "n_e").distinct()
+    if several.isEmpty():
+        return plain
     bound = disclosure(n, F.least("n_t", "n_e"), F.col("n_t"), F.col("n_e"), smooth)
     pairs = own.filter(F.col("n_t") > F.col("weight")).join(several, "key").filter(reach(bound, generalise) & (bound > F.col("least")))
     pairs = stored(pairs.select("key", "c", "term", "weight", "n_t", "n_e"), "pii-pairs")
@@ -157,8 +165,12 @@ def find_private(
         F.collect_list(F.struct("start", F.lit(TERM_PLACE).alias("place"), F.when(F.col("removed"), "gone").otherwise("term").alias("kind"), "end", F.col("term").alias("value"))).alias("more")
     )
     laid = texts.select("key", "weight", "base").join(more, "key").select("key", "weight", clear_of(F.col("more"), F.col("base"), TERM_PLACE).alias("more"))
-    laid = stored(laid, "pii-laid")
-    out = salted_join(hits, laid.select("key", "more"), ["key"], hot_keys(laid, ["key"], "weight", hits.count()), "left")
+    n_hits = hits.count()
+    if may_be_hot(n_hits):
+        laid = stored(laid, "pii-laid")
+        out = salted_join(hits, laid.select("key", "more"), ["key"], hot_keys(laid, ["key"], "weight", n_hits), "left")
+    else:
+        out = hits.join(laid.select("key", "more"), "key", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(TAGGED))))
     return out.select("row", "base", spans.alias("spans")).unionByName(rest)
 
