@@ -70,26 +70,6 @@ def pick_each(df: DataFrame, n: int) -> DataFrame:
     return rows.select("product", "id", "variant", "angle", "score", "size").groupBy("product").applyInPandas(run, "product string, id long")
 
 
-def split_total(total: int, weights: dict[int, int], caps: dict[int, int]) -> dict[int, int]:
-    """A total dealt out by weight with caps: whole shares first, then one each by largest remainder, ties to the smaller
-    key; what a cap turns away is dealt out again among the others."""
-    keys = np.array(sorted(weights))
-    w = np.array([max(weights[k], 0) for k in keys.tolist()], float)
-    room = np.array([min(caps.get(k, total), max(total, 0)) for k in keys.tolist()])
-    out = np.zeros(len(keys), int)
-    while (left := total - out.sum()) > 0 and (open_ := (w > 0) & (out < room)).any():
-        share = np.where(open_, left * w / w[open_].sum(), 0.0)
-        whole = np.minimum(np.floor(share).astype(int), room - out)
-        spare = open_ & (out + whole < room)
-        order = np.lexsort((keys, np.floor(share) - share))
-        ones = order[spare[order]][: left - whole.sum()]
-        if not whole.any() and not len(ones):
-            break
-        out += whole
-        out[ones] += 1
-    return dict(zip(keys.tolist(), out.tolist(), strict=True))
-
-
 def swap_ring(df: DataFrame, group: str, *order) -> DataFrame:
     """next_id: the row after each in its group's order, the first after the last."""
     w = Window.partitionBy(group).orderBy(*order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import changes, labels, sequence
+from tessella.operators import changes, labels, quotas, sequence
 from tessella.plans.catalogue import query
 from tessella.plans.items import ITEMS_SQL, items, table
 from tessella.sources import sinks
@@ -103,3 +103,11 @@ def lifecycle(spark, sf):
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
     known = o.filter(k % 5 != 0).select(k.alias("rel"), F.when(k % 4 == 0, "ok").when(k % 4 == 1, "pending").when(k % 4 == 2, "missing").otherwise("error").alias("status"))
     return rules.lifecycle(known, o.filter(k % 3 == 0).select(k.alias("rel"), F.when(k % 9 == 0, "error").otherwise("ok").alias("outcome")))
+
+
+@query("pick_quotas")
+def pick_quotas(spark, sf):
+    """A shop for each source, with picks for six in five of its documents, of which most take fewer than their share."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    products = docs.select(F.col("source").alias("shop"), F.col("doc_id").alias("product"), (F.col("doc_id") % 7 + 1).alias("weight"), (F.col("doc_id") % 4).alias("cap"))
+    return quotas.apportioned(products, products.groupBy("shop").agg(F.floor(F.count("*") * 6 / 5).alias("total")))
