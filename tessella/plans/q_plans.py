@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tessella.operators import changes, labels, quotas, sequence
 from tessella.plans.catalogue import query
 from tessella.plans.items import ITEMS_SQL, items, table
-from tessella.sources import sinks
+from tessella.sources import archives, sinks
+from tessella.sources.shared import shared_path
 
 WITH = f"WITH {ITEMS_SQL}"
 
@@ -111,3 +112,13 @@ def pick_quotas(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     products = docs.select(F.col("source").alias("shop"), F.col("doc_id").alias("product"), (F.col("doc_id") % 7 + 1).alias("weight"), (F.col("doc_id") % 4).alias("cap"))
     return quotas.apportioned(products, products.groupBy("shop").agg(F.floor(F.count("*") * 6 / 5).alias("total")))
+
+
+@query("zip_round_trip", """SELECT 'p/' || CAST(page_id % 100 AS VARCHAR) || '/' || CAST(page_id AS VARCHAR) || '.html' AS name, octet_length(encode(coalesce(html, ''))) AS size, sha256(coalesce(html, '')) AS hash FROM pages""")
+def zip_round_trip(spark, sf):
+    """Every page as a member of archives in the shared folder, read back."""
+    number = lambda c: c.cast("string")
+    name = F.concat(F.lit("p/"), number(F.col("page_id") % 100), F.lit("/"), number(F.col("page_id")), F.lit(".html"))
+    path = shared_path(spark, "zipped")
+    archives.write_zipped(table(spark, sf, "pages").select(name.alias("name"), F.col("html").cast("binary").alias("payload")), path)
+    return archives.read_zipped(spark, path).select("name", "size", F.sha2("payload", 256).alias("hash"))

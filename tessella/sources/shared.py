@@ -21,11 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back, so that its lineage ends there."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the session ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back, so that its lineage ends there."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
