@@ -105,6 +105,29 @@ def sharp_percentile(spark, sf):
     return search.sharp_percentile(items(spark, sf)).select("id", F.round("sharp_pct", 6).alias("sharp_pct"))
 
 
+@query("filter_sharp_min", f"""{WITH}, s AS (SELECT id, rel, (row_number() OVER (ORDER BY coalesce(sharp, 0), id) - 1) / greatest(count(*) OVER () - 1, 1) * 100 AS pct FROM items)
+SELECT id, rel FROM s WHERE pct >= 80""")
+def filter_sharp_min(spark, sf):
+    return apply(search.sharp_percentile(items(spark, sf)), Filters(sharp_min_pct=80)).select("id", "rel")
+
+
+@query("filter_group_copies", f"{WITH} SELECT id, rel FROM items QUALIFY count(*) OVER (PARTITION BY qhash) > 1")
+def filter_group_copies(spark, sf):
+    return apply(sequence.duplicate_sets(items(spark, sf)), Filters(group="copies")).select("id", "rel")
+
+
+@query("filter_product_variant", f"{WITH} SELECT id, rel FROM items WHERE id % 40 = 7 AND id % 3 = 1")
+def filter_product_variant(spark, sf):
+    rows = items(spark, sf).withColumns({"product": F.col("id") % 40, "variant": F.col("id") % 3})
+    return apply(rows, Filters(product=7, variant=1)).select("id", "rel")
+
+
+@query("filter_sure_only", f"{RANKED_SQL} SELECT id, confidence FROM m WHERE sure")
+def filter_sure_only(spark, sf):
+    f = Filters(category="click", sure_only=True)
+    return with_confidence(apply(items(spark, sf), f), f).select("id", "confidence")
+
+
 _AXES = {
     "kind": f"CASE WHEN {CLIP_SQL} THEN 'videos' ELSE 'photos' END", "faces": f"CASE {FACES_SQL} WHEN 0 THEN 'none' WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE CASE WHEN {FACES_SQL} >= 3 THEN 'group' END END",
     "cameras": "nullif(camera, '')", "shot_size": "nullif(shot_size, '')", "slowmo": f"CASE WHEN {CLIP_SQL} THEN {SPEED_SQL} END",
@@ -234,6 +257,11 @@ def burst_runs(spark, sf):
     return bursts(spark, sf).filter("burst_id IS NOT NULL").select("id", "burst_id")
 
 
+@query("filter_group_burst", f"{BURSTS_SQL} SELECT id, rel FROM b WHERE size > 1")
+def filter_group_burst(spark, sf):
+    return apply(bursts(spark, sf), Filters(group="burst")).select("id", "rel")
+
+
 @query("best_of_burst", f"{BURSTS_SQL} SELECT run AS burst_id, count(*) AS n, arg_max(id, coalesce(sharp, 0) * 1e6 - id / 1e9) AS sharpest FROM b WHERE size > 1 GROUP BY 1")
 def best_of_burst(spark, sf):
     return sequence.best_of_sets(bursts(spark, sf), "burst_id")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import dot
-from tessella.operators import cluster, vectors
+from tessella.operators import cluster, subject, vectors
 from tessella.plans.catalogue import query
 
 V_SQL = "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector, label FROM embeddings)"
@@ -149,3 +149,10 @@ def product_groups(spark, sf):
     near = F.transform("vector", lambda x, i: x.cast("double") + F.when(i == F.col("j"), 0.05).otherwise(0.0))
     rows = v.withColumn("j", F.explode(F.array(*[F.lit(k) for k in range(3)]))).select("label", (F.col("id") * 3 + F.col("j")).alias("id"), near.alias("vector"), colour.alias("colour"))
     return products.find(rows, "label")
+
+
+@query("subject_masks")
+def subject_masks(spark, sf):
+    """Every vector as a picture of 8 x 8 pixels: how many are the subject's, and in how many parts."""
+    found = subject.subject_masks(vecs(spark, sf).select("id", F.transform("vector", lambda x: x.cast("double") * 100).alias("p")), "p", 8, 8)
+    return found.select("row.id", F.size(F.filter("mask", lambda m: m)).alias("pixels"), "parts", "box", F.round("share", 9).alias("share"))
