@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.scalars import safe_segment
-from tessella.operators.cluster import components, eps_edges, kept_names
+from tessella.operators.cluster import components, eps_links, kept_names
 from tessella.operators.merges import merged_people
 
 EDGE, EYE_SHARP, EPS = 10, 40.0, 0.32
@@ -27,7 +27,7 @@ def good_faces(faces: DataFrame) -> DataFrame:
 
 def grouped(
     faces: DataFrame, eps: float = EPS, same: DataFrame | None = None, names: DataFrame | None = None, decisions: DataFrame | None = None,
-    merge_at: float = MERGE_AT, join: Callable = eps_edges,
+    merge_at: float = MERGE_AT, join: Callable = eps_links,
 ) -> DataFrame:
     """(id, root, name) of faces (id, w, h, eye_sharp, vector): groups of the graph of cosine distances up to eps, with
     decisions (a, b) that faces are the same as edges too. With decisions (a, b, decision: same or different), groups are merged by
