@@ -61,6 +61,19 @@ def test_a_threshold_is_met_in_double_precision(spark):
     assert got == {i: 2 * (i // 2) for i in range(80) if i // 2 % 2}
 
 
+def test_an_index_that_misses_pairs_still_gives_whole_groups(spark, monkeypatch):
+    """linked_groups_indexed: with cells that lose most pairs, groups are those of all pairs."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(900, 12))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, vector array<double>")
+    unit = index.unit_rows(m)
+    bad = index.Cells(index.learned_centres(unit, 40), 1, 0.6)
+    monkeypatch.setattr(index, "fit_cells", lambda *a, **k: bad)
+    want = roots(cluster.eps_edges(df, 0.6))
+    assert roots(index.near(df, 0.6, links=True)) != want
+    assert roots(index.near_links(df, 0.6)) == want
+
+
 def test_linkage_of_a_long_path(spark):
     """avg_linkage_groups: a component whose rows are a path of hundreds of steps."""
     m = [[float(np.cos(i * 0.01)), float(np.sin(i * 0.01))] for i in range(1, 300)]
