@@ -12,7 +12,9 @@ A shoot's frames are dealt out over lanes by their stem, to each of which its ta
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
+import pickle
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
-#: Lanes of a shoot.
-LANES = 16
+#: Lanes of a shoot, and chunks of a lane's rows. A chunk is one value of the state, as a call for every row would take longer than all else.
+LANES, CHUNKS = 16, 64
 ROW = "raw_at long, raw_id long, raw string, std_at long, std_id long, standard string, version int, id long, rel string, sibling string, product string"
 FIELDS = [c.split()[0] for c in ROW.split(", ")]
+RAW_AT, STD_AT = FIELDS.index("raw_at"), FIELDS.index("std_at")
 OUT = "dir string, stem string, version int, id long, rel string, sibling string, product string"
 
 
@@ -52,52 +55,71 @@ def updated(row: dict, tags: list) -> bool:
     return True
 
 
+def chunk_of(own: tuple[str, str]) -> int:
+    return zlib.crc32(repr(own).encode()) % CHUNKS
+
+
 class Tagging(StatefulProcessor):
     def __init__(self, keep_us: int):
         self.keep_us = keep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getMapState("rows", "dir string, stem string", ROW)
-        self.tags = handle.getListState("tags", "at long, seq long, product string")
+        self.chunks = handle.getMapState("chunks", "chunk int", "rows binary")
+        self.tags = handle.getValueState("packed_tags", "tags binary")
 
     def known_tags(self) -> list:
-        return [(int(t[0]), int(t[1]), t[2]) for t in self.tags.get()] if self.tags.exists() else []
+        return pickle.loads(self.tags.get()[0]) if self.tags.exists() else []
+
+    def chunk(self, nth: int) -> dict:
+        """(dir, stem) -> row of a chunk, a row as a tuple of FIELDS."""
+        return pickle.loads(self.chunks.getValue((nth,))[0]) if self.chunks.containsKey((nth,)) else {}
+
+    def held_rows(self, wanted: dict, tags: list, late: set) -> dict:
+        """The rows that are wanted, and those that a late tag is in force for: it holds until the next one, so rows that arrived
+        meanwhile are another's now. With late tags that is one pass over the rows, however many tags they are."""
+        if not self.chunks.exists():
+            return {}
+        ats, out = [t[0] for t in tags], {}
+        for nth in range(CHUNKS) if late else {chunk_of(own) for own in wanted}:
+            for own, held in self.chunk(nth).items():
+                raw_at, std_at = held[RAW_AT], held[STD_AT]
+                i = late and bisect_right(ats, std_at if raw_at is None else raw_at if std_at is None else min(raw_at, std_at))
+                if (i and tags[i - 1][:2] in late) or own in wanted:
+                    out[own] = dict(zip(FIELDS, held, strict=True))
+        return out
+
+    def put_rows(self, rows: dict) -> None:
+        by: dict[int, dict] = {}
+        for own, row in rows.items():
+            by.setdefault(chunk_of(own), {})[own] = tuple(row[c] for c in FIELDS)
+        for nth, new in by.items():
+            self.chunks.updateValue((nth,), (pickle.dumps(self.chunk(nth) | new),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tags, late, touched, newest = self.known_tags(), [], {}, 0
+        late, files, newest = [], {}, 0
         for part in rows:
             for r in part[["at_us", "seq", "is_tag", "product", "dir", "stem", "rel", "is_raw", "id"]].itertuples(index=False):
                 newest = max(newest, int(r.at_us))
                 if r.is_tag:
-                    tag = (int(r.at_us), int(r.seq), None if r.product is None or r.product != r.product else r.product)
-                    insort(tags, tag, key=lambda t: t[:2])
-                    late.append(tag)
-                    continue
-                own = (r.dir, r.stem)
-                if own not in touched:
-                    held = self.rows.getValue(own) if self.rows.exists() and self.rows.containsKey(own) else None
-                    touched[own] = dict(zip(FIELDS, held, strict=True)) if held is not None else dict.fromkeys(FIELDS) | {"version": -1}
-                row, kind, name = touched[own], *(("raw", "raw") if r.is_raw else ("std", "standard"))
-                file = (int(r.at_us), int(r.id), r.rel)
+                    late.append((int(r.at_us), int(r.seq), None if r.product is None or r.product != r.product else r.product))
+                else:
+                    files.setdefault((r.dir, r.stem), []).append((r.is_raw, (int(r.at_us), int(r.id), r.rel)))
+        tags = sorted(self.known_tags() + late, key=lambda t: t[:2])
+        touched = self.held_rows(files, tags, {t[:2] for t in late})
+        if late:
+            self.tags.update((pickle.dumps(tags),))
+        moved = set()
+        for own, arrived in files.items():
+            row = touched.setdefault(own, dict.fromkeys(FIELDS) | {"version": -1})
+            for is_raw, file in arrived:
+                kind, name = ("raw", "raw") if is_raw else ("std", "standard")
                 if row[f"{kind}_at"] is None or file < (row[f"{kind}_at"], row[f"{kind}_id"], row[name]):
                     row[f"{kind}_at"], row[f"{kind}_id"], row[name] = file
-        if late and self.rows.exists():
-            # A late tag holds until the next one: rows that arrived meanwhile are another's now.
-            spans = [(t[0], next((u[0] for u in tags[bisect_right(tags, t[0], key=lambda x: x[0]) :]), None)) for t in late]
-            for own, held in self.rows.iterator():
-                row = dict(zip(FIELDS, held, strict=True))
-                at = arrival(row)[0]
-                if tuple(own) not in touched and any(a <= at and (b is None or at < b) for a, b in spans):
-                    touched[tuple(own)] = row
-        if late:
-            self.tags.put(tags)
-        out = []
-        for own, row in touched.items():
-            changed = updated(row, tags)
-            self.rows.updateValue(own, tuple(row[c] for c in FIELDS))
-            if changed:
-                out.append((key[0], *own, *(row[c] for c in FIELDS[6:])))
+                    moved.add(own)
+        changed = {own for own, row in touched.items() if updated(row, tags)}
+        self.put_rows({own: touched[own] for own in changed | moved})
+        out = [(key[0], *own, *(row[c] for c in FIELDS[6:])) for own, row in touched.items() if own in changed]
         if newest:
             self.handle.registerTimer((newest + self.keep_us) // 1000 + 1)
         yield pd.DataFrame(out, columns=["shoot", *[c.split()[0] for c in OUT.split(", ")]])
@@ -105,13 +127,17 @@ class Tagging(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """What is older than is kept goes: rows, and tags that a later one replaced before that."""
         until = timerValues.getCurrentWatermarkInMs() * 1000 - self.keep_us
-        old = [tuple(own) for own, held in self.rows.iterator() if arrival(dict(zip(FIELDS, held, strict=True)))[0] < until] if self.rows.exists() else []
-        for own in old:
-            self.rows.removeKey(own)
+        for nth in range(CHUNKS) if self.chunks.exists() else ():
+            rows = self.chunk(nth)
+            young = {own: held for own, held in rows.items() if arrival(dict(zip(FIELDS, held, strict=True)))[0] >= until}
+            if rows and not young:
+                self.chunks.removeKey((nth,))
+            elif len(young) < len(rows):
+                self.chunks.updateValue((nth,), (pickle.dumps(young),))
         tags = self.known_tags()
         first = bisect_right(tags, until, key=lambda t: t[0])
         if first > 1:
-            self.tags.put(tags[first - 1 :])
+            self.tags.update((pickle.dumps(tags[first - 1 :]),))
         return iter(())
 
     def close(self) -> None:

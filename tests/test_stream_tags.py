@@ -94,3 +94,49 @@ def test_state_goes_when_it_is_old(spark, tmp_path):
     land(spark, base, "frames", [("a", when(3001), "d", "s", "s.jpg", False, 9)], FRAMES)
     rows = run(spark, base, lanes=1).filter("stem = 's'").collect()
     assert sorted((r.version, r.id, r.rel, r.product) for r in rows) == [(0, 7, "s.arw", "dress"), (0, 9, "s.jpg", "dress")]
+
+
+class Held:
+    """A state in memory that counts its calls."""
+
+    def __init__(self):
+        self.data, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "exists": lambda: bool(self.data), "get": lambda: self.data[()], "update": lambda v: self.data.update({(): v}), "getValue": lambda k: self.data[k],
+            "containsKey": lambda k: k in self.data, "updateValue": lambda k, v: self.data.update({k: v}), "removeKey": lambda k: self.data.pop(k),
+        }[name]
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, Held())
+
+    getValueState = getListState = getMapState
+
+    def registerTimer(self, at):
+        pass
+
+
+def test_many_late_tags_and_many_rows():
+    """The pass over the rows is one however many tags are late, with a bounded number of calls to the state."""
+    import pandas as pd
+
+    handle, rng = Handle(), random.Random(1)
+    step = tags.Tagging(10**15)
+    step.init(handle)
+    frames = [(rng.randrange(1, 10**9), 0, False, None, "d", str(i), f"{i}.arw", True, i) for i in range(8000)]
+    late = [(rng.randrange(1, 10**9), 10**6 + i, True, rng.choice(["dress", "coat", None]), None, None, None, False, 0) for i in range(6000)]
+    columns = ["at_us", "seq", "is_tag", "product", "dir", "stem", "rel", "is_raw", "id"]
+    got = {}
+    for part in (frames[:4000] + late[:10], frames[4000:] + late[10:3000], late[3000:]):
+        for out in step.handleInputRows(("s",), iter([pd.DataFrame(part, columns=columns).astype({"product": object})]), None):
+            got |= {r.stem: r.product for r in out.itertuples(index=False)}
+    in_order = sorted(t[:2] + t[3:4] for t in late)
+    assert got == {f[5]: tags.asof(in_order, f[0]) for f in frames}
+    assert sum(s.calls for s in handle.states.values()) < 2000
