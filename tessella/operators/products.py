@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +55,8 @@ def find(items: DataFrame, shoot: str = "shoot") -> DataFrame:
     """(shoot, id, product, variant, view) of items (shoot, id, vector, colour) with a product, by shoot. Products never reach
     across components of the pairs within PRODUCT, so each component is looked at on its own."""
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        found = group(np.array(rows["vector"].tolist(), np.float64), list(rows["colour"])) if len(rows) > 1 else []
-        out = pd.DataFrame(found, columns=["product", "variant", "view"])
-        return out.assign(id=rows["id"][: len(out)]).query("product >= 0")
+    def work(m: np.ndarray, colours: list) -> list[tuple[int, int, int, int]]:
+        return [(at, *found) for at, found in enumerate(group(m, colours)) if found[0] >= 0] if len(m) > 1 else []
 
     return within_links(items.select(shoot, "id", "vector", "colour"), shoot, 1 - PRODUCT - 1e-9, work, "product", "variant int, view int")
 
