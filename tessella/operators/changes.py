@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,19 +21,22 @@ def pair_raw(files: DataFrame) -> DataFrame:
     whole tree and the stem; in the last two only where it is unique on both sides. Videos never pair.
     """
     rows = files.withColumns({"_stem": F.lower(S.stem(F.col("rel"))), "_dir": S.parent(F.col("rel"))})
-    rows = rows.withColumn("_up", S.parent(F.col("_dir")))
-    still = rows.filter(~F.col("is_video"))
-    raw, std = still.filter("is_raw"), still.filter("NOT is_raw")
-    done = None
+    rows = stored(rows.withColumn("_up", S.parent(F.col("_dir"))), "files")
+    left, done = rows.filter(~F.col("is_video")).select("rel", "is_raw", "_stem", "_dir", "_up"), []
+    raw, std = F.col("is_raw"), ~F.col("is_raw")
     for scope in (["_dir", "_stem"], ["_up", "_stem"], ["_stem"]):
-        first = len(scope) == 2 and scope[0] == "_dir"
-        once = lambda df, name: df.groupBy(*scope).agg(F.min("rel").alias(name), F.count("*").alias("_n")).filter(F.lit(first) | (F.col("_n") == 1)).drop("_n")  # noqa: B023, E731
-        pairs = stored(once(std, "rel").join(once(raw, "sibling"), scope).select("rel", "sibling"), "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        std = std.join(pairs.select("rel"), "rel", "left_anti")
-        raw = raw.join(pairs.select(F.col("sibling").alias("rel")), "rel", "left_anti")
-    kept = files.join(done.select(F.col("sibling").alias("rel")), "rel", "left_anti")
-    return kept.join(done, "rel", "left")
+        of = lambda kind: F.min(F.when(kind, F.col("rel")))
+        sets = left.dropna(subset=scope).groupBy(*scope).agg(of(std).alias("_std"), of(raw).alias("_raw"), F.count_if(std).alias("_n_std"), F.count_if(raw).alias("_n_raw"))
+        paired = (F.col("_n_std") > 0) & (F.col("_n_raw") > 0) if scope[0] == "_dir" else (F.col("_n_std") == 1) & (F.col("_n_raw") == 1)
+        pairs = stored(sets.filter(paired).select(*scope, "_std", "_raw"), "pairs")
+        done.append(pairs.select(F.col("_std").alias("rel"), F.col("_raw").alias("sibling")))
+        if scope != ["_stem"]:
+            gone = F.coalesce(F.col("rel") == F.when(raw, F.col("_raw")).otherwise(F.col("_std")), F.lit(False))
+            left = stored(left.join(pairs, scope, "left").filter(~gone).select("rel", "is_raw", "_stem", "_dir", "_up"), "files-left")
+    done = reduce(DataFrame.unionByName, done)
+    marks = done.withColumn("_gone", F.lit(False)).unionByName(done.select(F.col("sibling").alias("rel"), F.lit(None).cast("string").alias("sibling"), F.lit(True).alias("_gone")))
+    marks = marks.groupBy("rel").agg(F.max("sibling").alias("sibling"), F.bool_or("_gone").alias("_gone"))
+    return rows.drop("_stem", "_dir", "_up").join(marks, "rel", "left").filter(~F.coalesce("_gone", F.lit(False))).drop("_gone")
 
 
 def detect_changes(listing: DataFrame, known: DataFrame, retry_errors: bool = False) -> DataFrame:
