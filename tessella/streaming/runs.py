@@ -11,7 +11,8 @@ a restart goes on with the same ids.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,23 +53,47 @@ def neighbours(a: dict, b: dict) -> bool:
     return a["dir"] == b["dir"] and a["camera"] == b["camera"] and b["frame_no"] == a["frame_no"] + 1
 
 
+def steps(a: dict, b: dict) -> bool:
+    """Whether b may go on with a bracket whose last frame is a."""
+    return (
+        neighbours(a, b) and 0 <= b["t"] - a["t"] <= BRACKET_GAP_S + (a["exposure_s"] or 0.0)
+        and a["bright"] is not None and b["bright"] is not None and abs(b["bright"] - a["bright"]) >= BRACKET_STEP
+    )
+
+
+def repeats(a: dict, b: dict) -> bool:
+    """Whether b goes on with a burst whose last frame is a, if neither is in a bracket."""
+    if not neighbours(a, b) or math.floor(b["t"]) - math.floor(a["t"]) > BURST_GAP_S:
+        return False
+    if a["ev"] is not None and b["ev"] is not None and abs(a["ev"] - b["ev"]) >= BURST_EV - 1e-6:
+        return False
+    alike = likeness(a["vector"], b["vector"])
+    return alike is None or alike >= BURST_SIM
+
+
+def linked(rule: Callable[[dict, dict], bool], a: dict, b: dict) -> bool:
+    """What a rule says of two frames of which one follows the other: worked out once while they do, as frames don't change."""
+    before, says = b.get(rule, (None, False))
+    if before is not a:
+        says = rule(a, b)
+        b[rule] = (a, says)
+    return says
+
+
 def brackets(stills: list[dict]) -> list[list[tuple[dict, float]]]:
     """Sets of (frame, stops from the set's upper median) among stills in order."""
     runs: list[list[dict]] = []
     for f in stills:
         run = runs[-1] if runs else []
-        last = run[-1] if run else None
-        follows = (
-            last is not None and neighbours(last, f) and 0 <= f["t"] - last["t"] <= BRACKET_GAP_S + (last["exposure_s"] or 0.0)
-            and last["bright"] is not None and f["bright"] is not None
-            and all(abs(f["bright"] - q["bright"]) >= BRACKET_STEP for q in run) and any(framed_alike(q, f) for q in run)
-        )
+        follows = run and linked(steps, run[-1], f) and all(abs(f["bright"] - q["bright"]) >= BRACKET_STEP for q in run) and any(framed_alike(q, f) for q in run)
         if follows:
             run.append(f)
         else:
             runs.append([f])
     out = []
     for run in runs:
+        if len(run) < 2:
+            continue
         levels = sorted(f["bright"] or 0.0 for f in run)
         said = all(f["exp_mode"] == 2 for f in run)
         if (len(run) >= 2 and said) or (len(run) >= BRACKET_MIN and levels[-1] - levels[0] >= BRACKET_SPAN - 1e-6):
@@ -80,17 +105,9 @@ def brackets(stills: list[dict]) -> list[list[tuple[dict, float]]]:
 def bursts(stills: list[dict], taken: set[int]) -> list[list[dict]]:
     """Runs of two stills and more, in order, of frames that are in no bracket (ids `taken`)."""
 
-    def paired(a: dict, b: dict) -> bool:
-        if a["id"] in taken or b["id"] in taken or not neighbours(a, b) or np.floor(b["t"]) - np.floor(a["t"]) > BURST_GAP_S:
-            return False
-        if a["ev"] is not None and b["ev"] is not None and abs(a["ev"] - b["ev"]) >= BURST_EV - 1e-6:
-            return False
-        alike = likeness(a["vector"], b["vector"])
-        return alike is None or alike >= BURST_SIM
-
     runs: list[list[dict]] = []
     for f in stills:
-        if runs and paired(runs[-1][-1], f):
+        if runs and f["id"] not in taken and runs[-1][-1]["id"] not in taken and linked(repeats, runs[-1][-1], f):
             runs[-1].append(f)
         else:
             runs.append([f])
@@ -134,6 +151,8 @@ class Shoot:
         """The frames beyond the window leave it; they stay in their sets, of which those with no frame left here are done."""
         while len(self.frames) > WINDOW:
             gone = self.frames.pop(0)
+            for rule in (steps, repeats):
+                gone.pop(rule, None)  # else it would hold on to all frames before it
             for kind in ("burst", "bracket"):
                 own = (kind, gone[kind])
                 if gone[kind] is not None:

@@ -146,3 +146,21 @@ def test_query_equals_plain(spark, tmp_path):
     got = {(r.shoot, r.id): (r.burst, r.bracket, r.stops) for r in catalogue.queries()["stream_runs"](spark, str(tmp_path)).collect()}
     want = {(s, i): v for s, frames in shoots.items() for i, v in plain(frames).items()}
     assert got == want and want
+
+
+def test_a_rule_looks_at_neighbours_once(monkeypatch):
+    """Two frames are compared when they become neighbours, not with each arrival after that; frames that are gone are let go."""
+    calls, real = [0], runs.neighbours
+
+    def counted(a, b):
+        calls[0] += 1
+        return real(a, b)
+
+    monkeypatch.setattr(runs, "neighbours", counted)
+    shoot = runs.Shoot([], {})
+    frame = dict.fromkeys(runs.NAMES) | {"dir": "d", "kind": "photo", "camera": "c"}
+    for i in range(300):
+        shoot.add(frame | {"id": i, "rel": f"{i:04}", "t": i * 0.3, "frame_no": i})
+    assert calls[0] <= 2 * 300 and len({f["burst"] for f in shoot.frames}) == 1
+    first = shoot.frames[0][runs.repeats][0]
+    assert runs.repeats not in first and runs.steps not in first
