@@ -7,11 +7,18 @@ frame has left the window, so a burst far longer than the window stays one. A se
 State of a shoot: the window's frames, and for each set that still has frames there how many of its frames have left it (and
 one of them, which is told if the set comes to an end). So state is bounded by the window, however long a shoot lasts, and
 a restart goes on with the same ids.
+
+A frame that comes or goes concerns the runs next to it only, as far as frames follow each other: the rules are run anew for these, and
+all else in the window stays as it is. Shoots are dealt over lanes, and the shoots of a lane over chunks of its state, each of which is
+one value: a call for every shoot and trigger would take longer than all else.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +31,10 @@ from pyspark.sql.window import Window
 from tessella.operators.sequence import BRACKET_GAP_S, BRACKET_MIN, BRACKET_SPAN, BRACKET_STEP, BURST_EV, BURST_GAP_S, framing_similarity
 
 WINDOW = 32
+#: Lanes that shoots are dealt over, and chunks of a lane's shoots.
+LANES, CHUNKS = 128, 8
+#: Changes handed on at once.
+TOLD = 20_000
 BURST_SIM, FRAMING = 0.9, 0.6
 #: What the rules look at. t is in seconds; bright and ev as brightness() and ev100() give them; vector and field may be null.
 FRAME = (
@@ -31,7 +42,6 @@ FRAME = (
     "exposure_s double, exp_mode int, vector array<double>, field array<double>"
 )
 NAMES = [c.split()[0] for c in FRAME.split(", ")]
-HELD = f"{FRAME}, burst long, bracket long, stops double"
 
 
 def likeness(a: list | None, b: list | None) -> float | None:
@@ -120,6 +130,10 @@ class Shoot:
     def __init__(self, frames: list[dict], outside: dict[tuple[str, int], tuple[int, int]]):
         self.frames, self.outside = frames, outside
         self.changes: list[tuple[int, str, int | None, float | None]] = []
+        #: Frames that the rules look at, in order, with what orders them; ids that are in a bracket.
+        self.stills = sorted((f for f in frames if is_still(f)), key=place)
+        self.places = [place(f) for f in self.stills]
+        self.taken = {f["id"] for f in frames if f["bracketed"]}
 
     def put(self, frame: dict, kind: str, set_id: int | None) -> None:
         frame[kind] = set_id
@@ -147,10 +161,21 @@ class Shoot:
                     self.leave(f, kind)
                 self.put(f, kind, set_id)
 
-    def slide(self) -> None:
-        """The frames beyond the window leave it; they stay in their sets, of which those with no frame left here are done."""
+    def slide(self) -> tuple[list[int], list[int]]:
+        """The frames beyond the window leave it; they stay in their sets, of which those with no frame left here are done. Next to which stills
+        one is gone that followed or was followed, by the rule of brackets and by that of bursts."""
+        at: tuple[list[int], list[int]] = ([], [])
         while len(self.frames) > WINDOW:
             gone = self.frames.pop(0)
+            if is_still(gone):
+                k = bisect_left(self.places, place(gone))
+                while self.stills[k] is not gone:
+                    k += 1
+                for own, follows in zip(at, (in_bracket, in_burst), strict=True):
+                    if k or (len(self.stills) > 1 and follows(gone, self.stills[1])):
+                        own += [k - 1, k]
+                del self.stills[k], self.places[k]
+            self.taken.discard(gone["id"])
             for rule in (steps, repeats):
                 gone.pop(rule, None)  # else it would hold on to all frames before it
             for kind in ("burst", "bracket"):
@@ -159,16 +184,50 @@ class Shoot:
                     self.outside[own] = (self.outside.get(own, (0, None))[0] + 1, gone["id"])
                     if all(f[kind] != gone[kind] for f in self.frames):
                         del self.outside[own]
+        return at
+
+    def around(self, positions: list[int], follows: Callable[[dict, dict], bool]) -> Iterator[list[dict]]:
+        """The stills of each range of two and more that follow each other, of which a position is in."""
+        stills, n, end = self.stills, len(self.stills), 0
+        for p in sorted(positions) if len(positions) > 1 else positions:
+            if p < end or p >= n:
+                continue
+            lo, end = p, p + 1
+            while lo > 0 and follows(stills[lo - 1], stills[lo]):
+                lo -= 1
+            while end < n and follows(stills[end - 1], stills[end]):
+                end += 1
+            if end - lo > 1 or stills[lo]["bracketed"]:
+                yield stills[lo:end]
 
     def add(self, frame: dict) -> list[tuple[int, str, int | None, float | None]]:
         """What changed, in order: (id, kind, set or None, stops)."""
         self.changes = []
-        self.frames.append(frame | {"burst": None, "bracket": None, "stops": None})
-        self.slide()
-        stills = [f for f in self.frames if f["kind"] != "video" and f["t"] is not None and f["frame_no"] is not None]
-        stills.sort(key=lambda f: (f["dir"], f["t"], f["rel"]))
-        found = brackets(stills)
-        runs = bursts(stills, {f["id"] for run in found for f, _ in run})
+        frame = frame | {"burst": None, "bracket": None, "stops": None, "bracketed": False}
+        self.frames.append(frame)
+        at, moved = self.slide()
+        if is_still(frame):
+            own = place(frame)
+            # As sorted() has it: frames of one place stay in the order of arrival.
+            k = len(self.places) if not self.places or self.places[-1] <= own else bisect_right(self.places, own)
+            self.stills.insert(k, frame)
+            self.places.insert(k, own)
+            here = [k] if k == len(self.places) - 1 else [k - 1, k, k + 1]
+            at, moved = ([x + (x >= k) for x in xs] + here for xs in (at, moved))
+        found = []
+        for part in self.around(at, in_bracket):
+            sets = brackets(part) if len(part) > 1 else []
+            inside = {f["id"] for run in sets for f, _ in run}
+            for f in part:
+                if f["bracketed"] != (f["id"] in inside):
+                    f["bracketed"] = not f["bracketed"]
+                    (self.taken.add if f["bracketed"] else self.taken.discard)(f["id"])
+                    k = bisect_left(self.places, place(f))
+                    while self.stills[k] is not f:
+                        k += 1
+                    moved += [k - 1, k, k + 1]
+            found += sets
+        runs = [run for part in self.around(moved, in_burst) if len(part) > 1 for run in bursts(part, self.taken)]
         for run in found:
             stops = {f["id"]: (f, f["stops"]) for f, _ in run}
             for f, s in run:
@@ -187,52 +246,94 @@ class Shoot:
         return self.changes
 
 
-def plainly(value):
-    """A value of a pandas row as plain Python, missing ones as None."""
-    if isinstance(value, (list, tuple, np.ndarray)):
-        return [float(x) for x in value]
-    if value is None or value is pd.NaT or (isinstance(value, float) and np.isnan(value)):
-        return None
-    return value.item() if isinstance(value, np.generic) else value
+def in_bracket(a: dict, b: dict) -> bool:
+    return linked(steps, a, b)
+
+
+def in_burst(a: dict, b: dict) -> bool:
+    return not a["bracketed"] and not b["bracketed"] and linked(repeats, a, b)
+
+
+def is_still(f: dict) -> bool:
+    return f["kind"] != "video" and f["t"] is not None and f["frame_no"] is not None
+
+
+def place(f: dict) -> tuple[str, float, str]:
+    return f["dir"], f["t"], f["rel"]
+
+
+HELD = [*NAMES, "burst", "bracket", "stops", "bracketed"]
+
+
+def packed(shoot: Shoot) -> tuple[list, dict]:
+    """A shoot as columns, of which those without a value are left out, and its sets."""
+    columns = [[f[c] for f in shoot.frames] for c in HELD]
+    return [None if all(x is None for x in c) else c for c in columns], shoot.outside
+
+
+def unpacked(held: tuple[list, dict]) -> Shoot:
+    columns, outside = held
+    n = len(columns[0])
+    return Shoot([dict(zip(HELD, row, strict=True)) for row in zip(*([None] * n if c is None else c for c in columns), strict=True)], outside)
+
+
+def plain_column(values: pd.Series, kind: str) -> list:
+    """A column of FRAME as plain Python values, missing ones as None."""
+    if kind == "array<double>":
+        return [None if v is None or isinstance(v, float) else [float(x) for x in v] for v in values.tolist()]
+    rows = values.tolist()
+    if kind in ("long", "int"):
+        return [None if v is None or v != v else int(v) for v in rows]
+    return [None if v is None or v != v else v for v in rows]
+
+
+def told(changes: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(changes, columns=["shoot", "seq", "nth", "id", "change", "set_id", "stops"]).astype({"set_id": "Int64", "stops": "Float64"})
 
 
 class Runs(StatefulProcessor):
-    """A shoot's frames in the order of seq -> the changes of their sets."""
+    """The frames of a lane's shoots in the order of seq -> the changes of their sets."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getListState("window", HELD)
-        self.sets = handle.getMapState("sets", "kind string, set_id long", "n long, one long")
+        self.chunks = handle.getMapState("chunks", "chunk int", "shoots binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows)).sort_values(["seq", "id"])  # of one trigger
-        integers = [i for i, c in enumerate(HELD.split(", ")) if c.split()[1] in ("long", "int")]
-        typed = lambda v: [int(x) if i in integers and x is not None else x for i, x in enumerate(map(plainly, v))]
-        columns = [c.split()[0] for c in HELD.split(", ")]
-        held = [dict(zip(columns, typed(v), strict=True)) for v in (self.window.get() if self.window.exists() else ())]
-        outside = {(k[0], int(k[1])): (int(v[0]), int(v[1])) for k, v in self.sets.iterator()} if self.sets.exists() else {}
-        shoot, before, out = Shoot(held, dict(outside)), outside, []
-        for seq, *frame in arrived[["seq", *NAMES]].itertuples(index=False):
-            changes = shoot.add(dict(zip(NAMES, typed(frame), strict=True)))
-            out += [(int(seq), nth, *change) for nth, change in enumerate(changes)]
-        self.window.put([tuple(f[c] for c in columns) for f in shoot.frames])
-        for own in before.keys() - shoot.outside.keys():
-            self.sets.removeKey(own)
-        for own, v in shoot.outside.items():
-            self.sets.updateValue(own, v)
-        changes = pd.DataFrame(out, columns=["seq", "nth", "id", "change", "set_id", "stops"]).astype({"set_id": "Int64", "stops": "Float64"})
-        yield changes.assign(shoot=key[0])[["shoot", "seq", "nth", "id", "change", "set_id", "stops"]]
+        kinds = dict(c.split() for c in FRAME.split(", "))
+        seqs, shoots = arrived["seq"].tolist(), arrived["shoot"].tolist()
+        # Equal strings are one, so that a chunk holds each once.
+        same: dict = {}
+        columns = [[same.setdefault(v, v) for v in c] if kinds[n] == "string" and n != "rel" else c for n, c in ((n, plain_column(arrived[n], kinds[n])) for n in NAMES)]
+        chunks: dict[int, list] = {}
+        for shoot, seq, *frame in zip(shoots, seqs, *columns, strict=True):
+            chunks.setdefault(zlib.crc32(repr(shoot).encode()) % CHUNKS, []).append((shoot, int(seq), dict(zip(NAMES, frame, strict=True))))
+        known = {k[0] for k in self.chunks.keys()} if self.chunks.exists() else set()
+        out: list[tuple] = []
+        for nth, frames in chunks.items():
+            held = pickle.loads(self.chunks.getValue((nth,))[0]) if nth in known else {}
+            live: dict = {}
+            for shoot, seq, frame in frames:
+                if shoot not in live:
+                    live[shoot] = unpacked(held[shoot]) if shoot in held else Shoot([], {})
+                out += [(shoot, seq, k, *change) for k, change in enumerate(live[shoot].add(frame))]
+            self.chunks.updateValue((nth,), (pickle.dumps(held | {shoot: packed(x) for shoot, x in live.items()}, protocol=5),))
+            if len(out) >= TOLD:
+                yield told(out)
+                out = []
+        yield told(out)
 
     def close(self) -> None:
         pass
 
 
-def live_runs(frames: DataFrame) -> DataFrame:
+def live_runs(frames: DataFrame, lanes: int = LANES) -> DataFrame:
     """(shoot, seq, nth, id, change, set_id, stops) of frames (shoot, seq and FRAME's columns): with each arrival `seq`, the frames
     whose set of a kind (`change`: burst or bracket) is another now; a null set_id means none. Arrival is the order of seq within a
-    trigger and of triggers, so nothing is late."""
+    trigger and of triggers, so nothing is late. lanes: as many as a restart has to keep."""
     kind = frames.schema["shoot"].dataType.simpleString()
     out = f"shoot {kind}, seq long, nth int, id long, change string, set_id long, stops double"
-    return frames.groupBy("shoot").transformWithStateInPandas(Runs(), out, "Append", "None")
+    dealt = frames.withColumn("lane", F.pmod(F.xxhash64("shoot"), F.lit(lanes)).cast("int"))
+    return dealt.groupBy("lane").transformWithStateInPandas(Runs(), out, "Append", "None")
 
 
 def settled(changes: DataFrame) -> DataFrame:

@@ -164,3 +164,56 @@ def test_a_rule_looks_at_neighbours_once(monkeypatch):
     assert calls[0] <= 2 * 300 and len({f["burst"] for f in shoot.frames}) == 1
     first = shoot.frames[0][runs.repeats][0]
     assert runs.repeats not in first and runs.steps not in first
+
+
+def test_a_call_for_many_shoots(spark, tmp_path, monkeypatch):
+    """Shoots share lanes, whose state is read and written by chunks: far fewer calls than shoots, and the same result over triggers."""
+    rng = random.Random(11)
+    shoots = {f"s{n}": make(rng, f"s{n}", 70, 1000 * n) for n in range(40)}
+    rows = [(s, k, *[f[c] for c in runs.NAMES]) for s, frames in shoots.items() for k, f in enumerate(frames)]
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for low, high in ((0, 33), (33, 50), (50, 100)):
+        spark.createDataFrame([r for r in rows if low <= r[1] < high], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    with live.rich_state(spark):
+        changes = live.drained(runs.live_runs(live.file_stream(spark, source, SCHEMA), lanes=3), out, state)
+    assert result(changes) == {(s, i): v for s, frames in shoots.items() for i, v in plain(frames).items()}
+
+    class State(dict):
+        calls = 0
+
+        def exists(self):
+            return bool(self)
+
+        def getValue(self, key):  # noqa: N802
+            State.calls += 1
+            return self[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            State.calls += 1
+            self[key] = value
+
+    import pandas as pd
+
+    own, table = runs.Runs(), pd.DataFrame(rows, columns=["shoot", "seq", *runs.NAMES])
+    own.chunks, got = State(), []
+    for low, high in ((0, 33), (33, 50), (50, 100)):
+        got += own.handleInputRows((0,), iter([table[(table.seq >= low) & (table.seq < high)]]), None)
+    assert State.calls <= 3 * 2 * runs.CHUNKS and len(pd.concat(got)) == changes.count()
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_only_what_is_next_to_a_change_is_done_again(seed, monkeypatch):
+    """Single frames in order are looked at once, however many are in the window; shoots come back from the state as they went."""
+    looked, real = [0], runs.brackets
+    monkeypatch.setattr(runs, "brackets", lambda stills: (looked.__setitem__(0, looked[0] + len(stills)), real(stills))[1])
+    shoot = runs.Shoot([], {})
+    frame = dict.fromkeys(runs.NAMES) | {"dir": "d", "kind": "photo", "camera": "c"}
+    for i in range(200):
+        shoot.add(frame | {"id": i, "rel": f"{i:04}", "t": i * 60.0, "frame_no": i})
+    assert looked[0] <= 2 * 200
+    monkeypatch.setattr(runs, "brackets", real)
+    frames, one, two = make(random.Random(seed), "s", 300, 0), runs.Shoot([], {}), runs.Shoot([], {})
+    for k, f in enumerate(frames):
+        assert one.add(dict(f)) == two.add(dict(f))
+        if k % 3 == 0:
+            two = runs.unpacked(runs.packed(two))
